@@ -1 +1,76 @@
-"""x"""
+"""Streaming queries, run to the end of their input, and the ignore score."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rxspark.operators import scoring
+from rxspark.plans.queries_catalogue import closed_thesaurus
+from rxspark.plans.queries_records import order_events
+from rxspark.plans.queries_screening import ALERTS_CTE, FAMILIES, RENAL, VIEWS, patients, profiles
+from rxspark.plans.registry import Inputs, query
+from rxspark.session import work_path
+from rxspark.sources.clinical_views import AS_OF
+from rxspark.streaming import jobs
+
+
+@query(
+    "stream_screening", [*VIEWS, "fx_interactions_raw"],
+    ALERTS_CTE + " SELECT prescription_id, rule, alert_type, severity, title, detail FROM alerts",
+)
+def _stream_screening(x: Inputs):
+    """Order events as a file stream, screened batch by batch against published knowledge."""
+    root = work_path(x.spark, "stream-screening")
+    order_events(x).write.parquet(f"{root}/orders")
+    for name, df in (("profiles", profiles(x)), ("thesaurus", closed_thesaurus(x))):
+        df.write.parquet(f"{root}/{name}")
+    schema = x.spark.read.parquet(f"{root}/orders").schema
+    events = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/orders")
+    jobs.screen_events(
+        events, patients(x), x.spark.read.parquet(f"{root}/profiles"), x.spark.read.parquet(f"{root}/thesaurus"),
+        AS_OF, f"{root}/alerts", f"{root}/checkpoint", families=FAMILIES, renal=RENAL,
+    ).awaitTermination()
+    return x.spark.read.parquet(f"{root}/alerts").select(
+        "prescription_id", "rule", "alert_type", "severity", "title", "detail"
+    )
+
+
+def _audit_stream(x: Inputs, root: str, copies: int = 1):
+    rows = x.view("fx_audit").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_copy")
+    rows.write.parquet(f"{root}/audit")
+    schema = x.spark.read.parquet(f"{root}/audit").schema
+    return x.spark.readStream.schema(schema).parquet(f"{root}/audit")
+
+
+@query(
+    "stream_alert_rates", ["fx_audit"],
+    """, copies AS (SELECT date_trunc('minute', created_at) + to_minutes(cast(s AS bigint)) AS window_end, alert_type
+      FROM fx_audit, range(1, 6) r(s))
+    SELECT window_end, alert_type, count(*) / 5.0 AS per_minute FROM copies
+    WHERE window_end <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 10 MINUTE FROM fx_audit) GROUP BY ALL""",
+)
+def _stream_rates(x: Inputs):
+    """Sliding alert rates; a window is final once the watermark has passed its end."""
+    root = work_path(x.spark, "stream-rates")
+    rates = jobs.windowed_rates(_audit_stream(x, root), "created_at", ["alert_type"])
+    jobs.append_to_parquet(rates, f"{root}/rates", f"{root}/checkpoint").awaitTermination()
+    return x.spark.read.parquet(f"{root}/rates").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@query("stream_audit_sink", ["fx_audit"], "SELECT id, decision, alert_type FROM fx_audit")
+def _stream_audit(x: Inputs):
+    """Every decision arrives twice and is stored once."""
+    root = work_path(x.spark, "stream-audit")
+    jobs.audit_sink(
+        _audit_stream(x, root, copies=2), "created_at", "id", f"{root}/out", f"{root}/checkpoint"
+    ).awaitTermination()
+    return x.spark.read.parquet(f"{root}/out").select("id", "decision", "alert_type")
+
+
+@query("ignore_scores")
+def _ignore_scores(x: Inputs):
+    """Model fitted on the whole audit log, then applied to it."""
+    log = x.view("fx_audit")
+    model = scoring.fit_ignore_model(log)
+    return scoring.score_alerts(model, log.select("id", "alert_type", "alert_severity", "created_at"))
