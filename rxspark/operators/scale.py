@@ -110,26 +110,41 @@ def collect_in_parts(
     )
 
 
-def contained_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, gram: int = 4) -> DataFrame:
-    """Rows (text, term) where ``term`` occurs inside ``text``, by an equi-join on leading grams.
+def contained_terms(
+    texts: DataFrame, text: str, terms: DataFrame, term: str, separators: str = "[/—]", gram: int = 4
+) -> DataFrame:
+    """Rows (text, term) where ``term`` occurs inside ``text``, by equi-joins.
 
-    A contained term starts somewhere in the text, so its first characters are one of the text's
-    grams. Terms shorter than ``gram`` meet grams of their own length.
+    Texts are cut at the separators, and only the distinct pieces are searched: a term without a
+    separator lies inside one piece, of any other term the longest part does. A contained part starts
+    somewhere in the piece, so its first characters are one of the piece's grams.
     """
-    lead = F.left(F.col(term), F.lit(gram))
-    terms = terms.select(term).distinct().filter(F.length(term) > 0).withColumn("_gram", lead)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    longest = F.array_max(
+        F.transform(F.split(F.col(term), separators), lambda p: F.struct(F.length(p).alias("n"), p.alias("part")))
+    )["part"]
+    probes = (
+        terms.select(term).distinct().withColumn("_probe", longest).filter(F.col("_probe") != "")
+        .withColumn("_gram", F.left("_probe", F.lit(gram)))
+    )
+    pieces = texts.select(text).distinct().withColumn("_piece", F.explode(F.array_distinct(F.split(text, separators))))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_piece"), F.lit(1)))
     grams = F.array_distinct(
         F.flatten(
             F.transform(
-                starts, lambda i: F.array(*[F.substr(F.col(text), i, F.lit(n)) for n in range(1, gram + 1)])
+                starts, lambda i: F.array(*[F.substr(F.col("_piece"), i, F.lit(n)) for n in range(1, gram + 1)])
             )
         )
     )
-    texts = texts.select(text).distinct().filter(F.length(text) > 0)
-    exploded = texts.select(text, F.explode(grams).alias("_gram"))
+    found = (
+        pieces.select("_piece").distinct()
+        .withColumn("_gram", F.explode(grams))
+        .join(probes, "_gram")
+        .filter(F.contains("_piece", "_probe"))
+        .select("_piece", term)
+        .distinct()
+    )
     return (
-        exploded.join(terms, "_gram")
+        pieces.join(found, "_piece")
         .filter(F.contains(F.col(text), F.col(term)))
         .select(text, term)
         .distinct()

@@ -148,8 +148,19 @@ query(
 ).select("q", "id", "gender"))
 
 
+def stored(x: Inputs, alerts):
+    """Alerts as screening leaves them: written once, read by the queries that need them twice."""
+    path = work_path(x.spark, "alerts")
+    alerts.write.parquet(path)
+    return x.spark.read.parquet(path)
+
+
+def stored_alerts(x: Inputs):
+    return stored(x, all_alerts(x))
+
+
 def _documents(x: Inputs):
-    return reads.prescription_documents(x.view("fx_prescriptions"), x.view("fx_lines"), all_alerts(x))
+    return reads.prescription_documents(x.view("fx_prescriptions"), x.view("fx_lines"), stored_alerts(x))
 
 
 query(
@@ -191,7 +202,7 @@ query(
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM alerts GROUP BY 1) a USING (id)
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM fx_lines GROUP BY 1) l USING (id)""",
 )(lambda x: reads.flatten_response(reads.doctor_overview(
-    x.view("fx_prescriptions"), x.view("fx_lines"), all_alerts(x)
+    x.view("fx_prescriptions"), x.view("fx_lines"), stored_alerts(x)
 )).select("id", "doctor_id", "position", "line_count", "alert_count"))
 
 # --- explanations -------------------------------------------------------------------------------------
@@ -210,7 +221,7 @@ _NUMBERED_ALERTS = ALERTS_CTE + """, numbered AS (SELECT *, line_id || '#' || ru
 def aged_alerts(x: Inputs):
     """Alerts with the patient's age."""
     ages = full_context(x).select("line_id", F.col("age").alias("patient_age"))
-    return numbered(all_alerts(x)).join(ages, "line_id")
+    return numbered(stored_alerts(x)).join(ages, "line_id")
 
 
 _TEXT_CONTEXT = """, text_context AS (SELECT *, CASE alert_type WHEN 'INTERACTION' THEN trim(string_split(tail, '/')[1]) END AS dci_a,
@@ -250,7 +261,7 @@ query(
       th.recommendation FROM alerts a JOIN first_row f ON f.prescription_id = a.prescription_id AND f.title = a.title JOIN th ON th.id = f.id
     WHERE alert_type = 'INTERACTION' GROUP BY ALL""",
 )(lambda x: explain.interaction_context(
-    numbered(screening.interaction_alerts(drug_context(x), closed_thesaurus(x))).dropDuplicates(["alert_id"]), drug_context(x),
+    numbered(stored(x, screening.interaction_alerts(drug_context(x), closed_thesaurus(x)))), drug_context(x),
     closed_thesaurus(x),
 ))
 query(
