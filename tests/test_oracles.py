@@ -1,4 +1,8 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Registered queries against their SQL on the smallest tables.
+
+Queries that screen everything first repeat the same work; by default ``screen_all`` stands for them
+(``RXSPARK_ALL=1`` runs them too, as does ``run_checks.py``).
+"""
 
 import os
 
@@ -17,7 +21,12 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def chosen(name):
+    repeats = " alerts AS (" in ORACLES.get(name, "") and name not in ("screen_all", "history_counts")
+    return os.environ.get("RXSPARK_ALL") or not (repeats or name == "alert_full_context")
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if chosen(n)])
 def test_query(spark, con, name):
     query = entry.queries()[name]
     if name in ORACLES:
