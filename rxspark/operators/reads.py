@@ -10,10 +10,6 @@ from rxspark.operators.scale import collect_in_parts
 MAX_QUERIES = 1000
 
 
-def _literal_pattern(q: str) -> str:
-    return q.strip()
-
-
 def search_drugs(drugs: DataFrame, components: DataFrame, queries: list[str], limit: int = 8) -> DataFrame:
     """Brand or molecule contains the query (case-insensitive, ``%`` and ``_`` are wildcards).
 
@@ -24,7 +20,7 @@ def search_drugs(drugs: DataFrame, components: DataFrame, queries: list[str], li
         raise ValueError(f"at most {MAX_QUERIES} queries per call")
     limit = min(limit, 20)
     hits = []
-    for q in (_literal_pattern(q) for q in queries):
+    for q in (q.strip() for q in queries):
         found = F.col("brand_name").ilike(f"%{q}%") | F.col("dci").ilike(f"%{q}%")
         prefix = F.coalesce(F.col("brand_name").ilike(f"{q}%"), F.lit(False))
         hits.append(F.when(found, F.struct(F.lit(q).alias("q"), prefix.alias("prefix"))))

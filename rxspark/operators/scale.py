@@ -44,8 +44,8 @@ def running_totals(
     )
 
 
-def previous_value(df: DataFrame, series: list[str], ts: str, value: str, span: str = "1 hour") -> Column:
-    """Not a column but a frame: ``df`` with ``previous``, the value before each row of its series.
+def previous_value(df: DataFrame, series: list[str], ts: str, value: str, span: str = "1 hour") -> DataFrame:
+    """``df`` with ``previous``, the value before each row of its series.
 
     Rows look back inside their time span; the first row of a span takes the last value of the
     nearest earlier span, found on one row per (series, span).

@@ -149,9 +149,6 @@ query(
 )(lambda x: catalogue_files.rename_headers(
     x.view("fx_raw").withColumnsRenamed({c: h for h, c in CATALOGUE_HEADERS.items()})
 ).select("brand_name_raw", "composition_raw", "age_raw", "link_raw"))
-_ORDER = ["brand_name", "atc_code", "dosage_raw"] + [
-    c for c in CLEAN_SQL if c not in ("brand_name", "atc_code", "dosage_raw")
-]
 query(
     "catalogue_ids", ["fx_raw"],
     CLEAN_CTE + " SELECT cast(row_number() OVER (ORDER BY "
