@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import language_id
+from rxspark.llm import language_id, near_dup
 from rxspark.llm.common import fold, read
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -39,3 +39,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "bits_per_byte")
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.linked_classes(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"),
+    )
