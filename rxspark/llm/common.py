@@ -16,6 +16,7 @@ from rxspark.session import work_path
 SLICE_BYTES = 1 << 20  # text handled at once inside a task
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
+SEPARATORS = ~np.array([c >= 128 or chr(c).isalnum() for c in range(256)])  # bytes outside words of letters and digits
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -106,11 +107,11 @@ class RollingHash:
         return (self.sums[length:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
-def words_of(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word (bytes other than space and 09-0D), and the row it stands in."""
+def words_of(data: np.ndarray, begin: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (a run of bytes outside ``white``), and the row it stands in."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~WHITE[data]
+    solid = ~white[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edge = begin[:-1][begin[:-1] < len(data)]
@@ -123,10 +124,10 @@ def words_of(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, np.flatnonzero(last) + 1, np.searchsorted(begin, start, "right") - 1
 
 
-def word_hashes(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, seed: int = 0, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word with A-Z lower-cased, and the row it stands in."""
     data, begin = text_bytes(column)
-    start, end, row = words_of(data, begin)
+    start, end, row = words_of(data, begin, white)
     if not len(start):
         return np.zeros(0, np.uint64), row
     return mix(RollingHash(LOWER[data], seed)(start, end)), row

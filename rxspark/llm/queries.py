@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import language_id, near_dup
+from rxspark.llm import decontamination, language_id, near_dup
 from rxspark.llm.common import fold, read
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -50,3 +50,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"),
     )
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
