@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup
+from rxspark.llm import decontamination, language_id, near_dup, sentence_pieces
 from rxspark.llm.common import fold, read
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -56,3 +57,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    done = sentence_pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"])
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )

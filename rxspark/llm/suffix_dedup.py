@@ -317,8 +317,8 @@ def _as_text(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(column), column.buffers(), offset=column.offset)
 
 
-def _apply(length: int):
-    schema = pa.schema([("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _apply(length: int, as_text: bool):
+    schema = pa.schema([("kept", pa.string() if as_text else pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches):
         for part in C.slices(batches):
@@ -338,8 +338,9 @@ def _apply(length: int):
             to = np.r_[0, np.cumsum(stay)][begin].tolist()
             spans = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e + 1, pa.int32())], ["start", "end"])
             offsets = np.searchsorted(i, np.arange(len(lists) + 1)).astype(np.int32)
+            pieces = [left[x:y] for x, y in zip(to, to[1:], strict=False)]
             columns = [
-                pa.array([left[x:y] for x, y in zip(to, to[1:], strict=False)], pa.binary()),
+                pa.array([x.decode("utf-8", "ignore") for x in pieces] if as_text else pieces, schema.field("kept").type),
                 pa.ListArray.from_arrays(pa.array(offsets), spans),
             ]
             yield pa.RecordBatch.from_arrays([part.column("row"), *columns], names=["row", *schema.names])
@@ -389,15 +390,18 @@ def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     )
 
 
-def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """``docs`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, end exclusive), one row each."""
+def suffix_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` (the remaining bytes) and ``spans`` (removed byte ranges, end exclusive), one row each.
+
+    ``as_text`` gives the remaining text instead; what is left of a character that was cut apart goes as well.
+    """
     ranges = repeated_ranges(docs, id, text, length).groupBy("id").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
     packed = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.struct("*").alias("row"))
     row = packed.schema["row"].dataType.simpleString()
     done = (
         packed.join(ranges, "id", "left")
         .select("row", "text", F.coalesce("ranges", F.expr("CAST(array() AS array<struct<a:int,n:int>>)")).alias("ranges"))
-        .mapInArrow(_apply(length), f"row {row}, kept binary, spans array<struct<start:int,end:int>>")
+        .mapInArrow(_apply(length, as_text), f"row {row}, kept {'string' if as_text else 'binary'}, spans array<struct<start:int,end:int>>")
     )
     own = ["kept", "spans"]
     return done.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in own), *own)
