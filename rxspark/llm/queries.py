@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup, sentence_pieces
+from rxspark.llm import decontamination, language_id, near_dup, quality_rules, sentence_pieces
 from rxspark.llm.common import fold, read
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -66,3 +66,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    done = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return done.drop("text")
