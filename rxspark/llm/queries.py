@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup, quality_rules, sentence_pieces
-from rxspark.llm.common import fold, read
+from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces
+from rxspark.llm.common import fold, read, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     done = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
     return done.drop("text")
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = stored(quality_classifier.with_statistics(docs, keep=["doc_id"]), "statistics")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = quality_classifier.fit(stats.filter(~held_out).withColumnRenamed("doc_id", "id"), labels)
+    return quality_classifier.score(stats, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
