@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces
+from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces, url_filter
 from rxspark.llm.common import fold, read, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -85,3 +85,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(stats, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    done = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return done.select("page_id", "host", "path", "rule", "verdict", "difference")
