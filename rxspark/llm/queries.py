@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces, url_filter
+from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces, toxicity, url_filter
 from rxspark.llm.common import fold, read, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -94,3 +94,16 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     done = url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return done.select("page_id", "host", "path", "rule", "verdict", "difference")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    labels = labels.filter(fold(F.col("id"), 5) != 0)
+    model = toxicity.fit(docs, labels)
+    found = stored(toxicity.passages(docs, model, keep=["doc_id"]), "passages")
+    return toxicity.score(found, labels, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_significant"
+    )
