@@ -143,3 +143,42 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
         schema=schema,
     )
+
+
+FILTER_HASHES = 4  # bits set for each value
+
+
+def filter_places(values: np.ndarray, size: int, which: int) -> np.ndarray:
+    return (mix(values.view(np.uint64) + np.uint64(which)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A filter over the only column (long) of ``values``: passes each of them, and of others the fewer the larger it is.
+
+    It has 16 bits a value, but 2^20 at least and 2^28 (32 MB) at most, so it can be sent to every task.
+    """
+    size = 1 << min(28, max(20, (16 * values.count()).bit_length()))
+    schema = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
+
+    def rows(batches):
+        for part in batches:
+            keys = part.column(0).to_numpy()
+            at = np.unique(np.concatenate([filter_places(keys, size, i) for i in range(FILTER_HASHES)]))
+            if len(at):
+                word, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield batch(schema, word.astype(np.int32), bits.view(np.int64))
+
+    words = values.mapInArrow(rows, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(size // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def passes(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values that a bit filter lets pass."""
+    live = np.arange(len(values))
+    for i in range(FILTER_HASHES):
+        at = filter_places(values[live], len(table) * 64, i)
+        live = live[(table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return live

@@ -30,7 +30,6 @@ SHORTEST = 5
 WINDOW = 16
 SHARE = 0.75
 REACH = 32
-_HASHES = 4  # bits per hash in the filter
 
 
 def _masks(short: list[int]) -> list[str]:
@@ -83,40 +82,19 @@ def _item_seeds(masks: list[str]):
     return run
 
 
-def _bits(hashes: np.ndarray, size: int, which: int) -> np.ndarray:
-    return (C.mix(hashes + np.uint64(which)) & np.uint64(size - 1)).astype(np.int64)
-
-
-def _filter_rows(size: int):
-    schema = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
-
-    def run(batches):
-        for part in batches:
-            hashes = part.column("hash").to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate([_bits(hashes, size, i) for i in range(_HASHES)]))
-            word, first = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-            yield C.batch(schema, word.astype(np.int32), bits.view(np.int64))
-
-    return run
-
-
 def _regions(shared, masks: list[str]):
     hit = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
     schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("hits", pa.list_(hit)), ("words", pa.list_(pa.int64()))])
 
     def run(batches):
         table = shared.value
-        size = len(table) * 64
         for part in C.slices(batches):
             words, row = C.word_hashes(part.column("text"), 7, C.SEPARATORS)
             places, found, spans = [], [], []
             for mask in masks:
                 hashes, place = _seeds(words, row, mask)
-                for i in range(_HASHES):
-                    at = _bits(hashes, size, i)
-                    live = (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    hashes, place = hashes[live], place[live]
+                live = C.passes(table, hashes)
+                hashes, place = hashes[live], place[live]
                 places.append(place)
                 found.append(hashes)
                 spans.append(np.full(len(place), len(mask)))
@@ -162,11 +140,8 @@ def overlaps(
     short = [r[0] for r in words.select(F.size("words")).distinct().filter(F.size("words") < longest).collect()]  # a few lengths
     masks = _masks(short)
     seeds = C.stored(words.mapInArrow(_item_seeds(masks), "item long, hash long, place int").distinct(), "item-seeds")
-    size = 1 << min(28, max(20, (16 * seeds.count()).bit_length()))
-    table = np.zeros(size // 64, np.uint64)
-    for r in seeds.mapInArrow(_filter_rows(size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        table[r["word"]] = np.uint64(r["bits"] & (1 << 64) - 1)
-    shared = spark.sparkContext.broadcast(table)  # 2^28 bits at most
+    table = C.bit_filter(seeds.select("hash"))
+    shared = spark.sparkContext.broadcast(table)  # 32 MB at most
     texts = docs.select(F.col(id).cast("long").alias("id"), F.lower(text).alias("text")).filter("id IS NOT NULL")
     regions = C.stored(
         texts.mapInArrow(_regions(shared, masks), "id long, start int, hits array<struct<hash:long,at:int>>, words array<long>"), "regions"

@@ -10,9 +10,11 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
    at the threshold meets in one child on average, a pair far below it dies out, and every level is one equi-join-free
    explode and one aggregation.
 4. In each node every class is compared with the node's smallest class, which costs one comparison a class however
-   large the node is, and links are contracted to components. Nodes left with several components are compared
-   exhaustively (only across components) if they hold at most SMALL classes, else branch further.
-5. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets.
+   large the node is; nodes of at most SMALL classes are compared exhaustively. Links are contracted to components. In
+   a larger node that still holds several, the classes outside its largest component are compared with all others if
+   they are at most SMALL; else the node branches further.
+5. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
+   which are made from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
 
 So a group of near copies costs its size times the trees, never its square. Nodes that are still large at DEPTH are
 compared exhaustively as well, so nothing is capped. With the default trees, a pair at exactly the threshold that meets
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxspark.llm import common as C
@@ -37,7 +39,7 @@ WORDS = 5
 PERCENT = 75
 SIGNATURE = 64
 TREES = 24
-SMALL = 24  # classes in a node that are compared exhaustively
+SMALL = 24  # classes in a node, or outside its largest component, that are compared with all others
 DEPTH = 10
 
 
@@ -106,11 +108,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield C.batch(schema, part.column("id"), size.astype(np.int64), raw, sketch[:, 0].copy(), sketch[:, 1].copy(), flat)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in C.slices(batches):
-        hashes, begin = _shingles(part.column("text"))
-        sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "shingles"])
+def _sets(shared):
+    """Full sets of the rows whose id passes a bit filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            known = np.flatnonzero(part.column("id").is_valid().to_numpy(zero_copy_only=False))
+            live = C.passes(shared.value, part.column("id").fill_null(0).to_numpy()[known])
+            for some in C.slices([part.take(pa.array(known[live]))]):
+                hashes, begin = _shingles(some.column("text"))
+                sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column("id"), sets], names=["id", "shingles"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -144,7 +154,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = C.stored(small.filter("a != b").distinct(), "small-star")
         roots = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         twice = after.groupBy("a").count().filter("count > 1")
-        if roots.isEmpty() and twice.isEmpty():
+        if roots.select("a").unionByName(twice.select("a")).isEmpty():
             return after.select(F.col("a").alias("id"), F.col("b").alias("component"))
         now = after
 
@@ -170,6 +180,54 @@ def _alike(a: str, b: str, percent: int):
     return sizes & (apart <= expected + 6 * (128 * (100 - percent) / 200 * (1 - (100 - percent) / 200)) ** 0.5)
 
 
+def _across(nodes: DataFrame, percent: int, left: Column | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of likely links in one node but different components; ``left`` limits one side of each pair."""
+    x = (nodes if left is None else nodes.filter(left)).select("node", F.col("m").alias("x"), F.col("c").alias("cx"))
+    y = nodes.select("node", F.col("m").alias("y"), F.col("c").alias("cy"))
+    once = F.col("x.id") < F.col("y.id") if left is None else F.lit(True)
+    pairs = x.join(y, "node").filter(once & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent))
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
+class _Links:
+    """Links found so far, contracted to labels ``(id, component)``."""
+
+    def __init__(self, texts: DataFrame, percent: int):
+        self.texts, self.percent = texts, percent
+        self.labels: DataFrame | None = None
+        self.tried: list[DataFrame] = []
+
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with ``c``, the component of ``m``."""
+        if self.labels is None:
+            return nodes.withColumn("c", F.col("m.id"))
+        labels = self.labels.withColumnRenamed("id", "key")
+        return nodes.join(labels, F.col("m.id") == F.col("key"), "left").withColumn("c", F.coalesce("component", F.col("m.id"))).drop("key", "component")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm pairs ``(a, b)`` on full sets, but for those tried before, and contract."""
+        pairs = pairs.distinct()
+        for before in self.tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = C.stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        self.tried.append(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        shared = self.texts.sparkSession.sparkContext.broadcast(C.bit_filter(wanted))  # 32 MB at most
+        sets = C.stored(self.texts.select("id", "text").mapInArrow(_sets(shared), "id long, shingles array<long>"), "sets")
+        links = C.stored(
+            pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+            .select("a", "b", "left", "right")
+            .mapInArrow(_confirmed(self.percent), "a long, b long"),
+            "confirmed",
+        )
+        if self.labels is not None:
+            links = links.unionByName(self.labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        self.labels = components(links)
+
+
 def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """``(id, n_shingles, component)`` for every row with an id: the result of the module."""
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -183,64 +241,33 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
         ).select("print", "n", "first.*"),
         "classes",
     )
-    member = F.struct("id", "n", "s0", "s1").alias("m")
-    labels = None  # id, component of the classes linked so far
-    root = classes.withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.lit(17), t))))
-    rows = root
+    work = _Links(texts, percent)
+    rows = classes.withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.lit(17), t))))
     for level in range(DEPTH + 1):
-        nodes = _branch(rows, level, percent).select("node", member)
-        # nodes with several classes; at deeper levels, with several components
-        if labels is not None:
-            nodes = nodes.join(labels.withColumnRenamed("id", "key"), F.col("m.id") == F.col("key"), "left").select(
-                "node", "m", F.coalesce("component", F.col("m.id")).alias("c")
-            )
-        else:
-            nodes = nodes.withColumn("c", F.col("m.id"))
-        whole = nodes.groupBy("node").agg(
+        nodes = work.labelled(_branch(rows, level, percent).select("node", F.struct("id", "n", "s0", "s1").alias("m")))
+        shared = nodes.groupBy("node").agg(
             F.count("*").alias("size"), F.min("m").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")
-        ).filter("low != high").drop("low", "high")
-        nodes = C.stored(nodes.join(whole, "node"), "nodes")
+        )
+        nodes = C.stored(nodes.join(shared.filter("low != high").drop("low", "high"), "node"), "nodes")
         star = nodes.filter((F.col("m.id") != F.col("pivot.id")) & _alike("m", "pivot", percent)).select(
-            F.col("m.id").alias("a"), F.col("pivot.id").alias("b"), F.col("c")
+            F.col("m.id").alias("a"), F.col("pivot.id").alias("b")
         )
-        final = level == DEPTH
-        near = nodes if final else nodes.filter(F.col("size") <= SMALL)
-        left = near.filter("m.id != pivot.id").select("node", F.col("m").alias("x"), F.col("c").alias("cx"))
-        right = near.filter("m.id != pivot.id").select("node", F.col("m").alias("y"), F.col("c").alias("cy"))
-        pairs = left.join(right, "node").filter((F.col("x.id") < F.col("y.id")) & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent))
-        found = star.select("a", "b").unionByName(pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))).distinct()
-        if labels is not None:  # pairs inside one component need no second look
-            look = labels.select("id", "component")
-            found = (
-                found.join(look.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(look.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-                .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-                .select("a", "b")
-            )
-        found = C.stored(found, "pairs")
-        if not found.isEmpty():
-            wanted = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-            sets = C.stored(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-            sets = sets.dropDuplicates(["id"])
-            links = C.stored(
-                found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-                .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-                .select("a", "b", "left", "right")
-                .mapInArrow(_confirmed(percent), "a long, b long"),
-                "confirmed",
-            )
-            if labels is not None:
-                links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            labels = components(links)
-        large = nodes.filter(F.col("size") > SMALL)
-        if final or large.isEmpty():
+        work.add(star.unionByName(_across(nodes.filter(F.col("size") <= SMALL), percent)))
+        # what the links of this level have left apart, in larger nodes
+        large = work.labelled(nodes.filter(F.col("size") > SMALL).select("node", "m"))
+        parts = large.groupBy("node", "c").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("c", "n").alias("main")).filter("others > 0")
+        large = C.stored(large.join(sizes, "node"), "large-nodes")
+        last = level == DEPTH
+        few = large if last else large.filter(F.col("others") <= SMALL)
+        work.add(_across(few, percent, F.col("c") != F.col("main")))
+        many = large.filter(F.col("others") > SMALL)
+        if last or many.isEmpty():
             break
-        # the node's rows again with their signatures, one level down
-        rows = (
-            large.select("node", F.col("m.id").alias("id"))
-            .join(classes.select("id", "n", "s0", "s1", "signature"), "id")
-            .select("node", "id", "n", "s0", "s1", "signature")
-        )
+        # the members again with their signatures, one level down
+        rows = many.select("node", F.col("m.id").alias("id")).join(classes.select("id", "n", "s0", "s1", "signature"), "id")
+        rows = rows.select("node", "id", "n", "s0", "s1", "signature")
+    labels = work.labels
     joined = classes.select("print", "n", "id")
     if labels is not None:
         joined = joined.join(labels, "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
