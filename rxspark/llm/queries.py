@@ -102,8 +102,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     labels = labels.filter(fold(F.col("id"), 5) != 0)
-    model = toxicity.fit(docs, labels)
-    found = stored(toxicity.passages(docs, model, keep=["doc_id"]), "passages")
-    return toxicity.score(found, labels, model).select(
+    odds = toxicity.fit(docs, labels)
+    found = stored(toxicity.passages(docs, odds, keep=["doc_id"]), "passages")
+    return toxicity.score(found, labels).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_significant"
     )

@@ -1,16 +1,16 @@
 """Toxic passages as maximal scoring segments of token log-odds, with extreme-value calibration.
 
-Tokens (lower-cased runs of letters and digits) fall into BUCKETS hashed places. Each place has the log-odds of toxic
-against clean labelled documents under an informative Dirichlet prior: PRIOR pseudo-tokens spread as in all documents.
-Places whose log-odds are not CERTAIN standard deviations from zero count as zero, and every token pays DRIFT, so that
-the expected score of clean text is negative. One scan of a text in linear time finds all its maximal scoring segments
-(no segment can be extended or cut without a loss, and they do not overlap).
+Tokens (lower-cased runs of letters and digits) fall into 2^PLACES hashed places. Every place has the log-odds of toxic
+against clean labelled documents under an informative Dirichlet prior: pseudo-tokens spread as in all documents. Log-odds
+that are not CERTAIN standard deviations from zero count as zero, and every token pays DRIFT, so that the expected score
+of clean text is negative. One scan of a text in linear time finds all its maximal scoring segments (no segment can be extended or
+cut without a loss, and they do not overlap).
 
 The best segment of clean text follows an extreme-value law: exp(-K n exp(-lambda s)) is the chance that n tokens hold
-none above s. lambda solves sum p exp(lambda s) = 1 over the clean token shares p; K comes from the mean of clean
+none above s. lambda solves sum p exp(lambda s) = 1 over the scores of clean tokens; K comes from the mean of clean
 documents. A document's evidence is the sum of lambda s - ln(K n) over its significant segments (the best one, if none
 is); a logistic curve fitted to labelled documents turns it into a score. Models have a fixed size: counting and
-calibration are map-side sums.
+calibration are map-side sums, and only labelled texts (found with a bit filter of bounded size) are shuffled.
 
 Defined cases: null and empty texts, and those without a positive token, have the least evidence. Rows without label or
 id do not teach; a label that repeats counts once, the larger one. Without both classes every score is the share of ones
@@ -19,8 +19,6 @@ id do not teach; a label that repeats counts once, the larger one. Without both
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,54 +26,64 @@ from pyspark.sql import functions as F
 
 from rxspark.llm import common as C
 
-BUCKETS = 1 << 18
-PRIOR = 5000.0
-DRIFT = 0.5
-CERTAIN = 3.0
+PLACES = 20  # bits of the place of a token
+PRIOR = 0.05  # pseudo-tokens for each labelled token
+DRIFT = 1.5
+CERTAIN = 2.0
 LOWEST = -30.0  # evidence without a segment
 BINS = 10  # per unit of evidence
+STEPS = 2  # per unit of token score
+LIMIT = 15  # token scores beyond are counted there
 _EULER = 0.5772156649015329
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, row = C.word_hashes(column, 9, C.SEPARATORS)
-    return (hashes >> np.uint64(46)).astype(np.int64), row
+    return (hashes >> np.uint64(64 - PLACES)).astype(np.int64), row
 
 
 def _count(batches):
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    total = np.zeros((3, BUCKETS), np.int64)
+    schema = pa.schema([("place", pa.int32()), ("label", pa.int32()), ("n", pa.int64())])
+    total: dict[int, np.ndarray] = {}
     for part in C.slices(batches):
-        bucket, row = _tokens(part.column("text"))
-        label = part.column("label").fill_null(-1).to_numpy()[row]
-        for i, chosen in enumerate((bucket, bucket[label == 1], bucket[label == 0])):
-            total[i] += np.bincount(chosen, minlength=BUCKETS)
-    some = np.flatnonzero(total[0])
-    if len(some):
-        yield C.batch(schema, some.astype(np.int32), *total[:, some])
-
-
-def log_odds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Score of every place, and lambda for clean text."""
-    prior = PRIOR * (n + 0.5) / (n + 0.5).sum()
+        place, row = _tokens(part.column("text"))
+        labels = part.column("label").to_numpy()
+        for label in np.unique(labels).tolist():
+            sums = total.setdefault(label, np.zeros(1 << PLACES, np.int64))
+            own, n = np.unique(place[labels[row] == label], return_counts=True)
+            sums[own] += n
+    for label, sums in total.items():
+        some = np.flatnonzero(sums)
+        if len(some):
+            yield C.batch(schema, some.astype(np.int32), np.full(len(some), label, np.int32), sums[some])
+
+
+def log_odds(n: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Log-odds of every place, zero where they are not certain."""
+    pseudo = max(1000.0, PRIOR * (toxic.sum() + clean.sum()))
+    prior = pseudo * (n + 0.5) / (n + 0.5).sum()
     sides = []
     for counts in (toxic, clean):
         own = counts + prior
-        sides.append(np.log(own / (counts.sum() + PRIOR - own)))
+        sides.append(np.log(own / (counts.sum() + pseudo - own)))
     odds = sides[0] - sides[1]
-    error = np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    score = np.where(np.abs(odds) >= CERTAIN * error, odds, 0.0) - DRIFT
-    share = (clean + prior) / (clean.sum() + PRIOR)
-    if not (score > 0).any() or share @ score >= 0:
-        return score, 1.0
+    odds[np.abs(odds) < CERTAIN * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))] = 0
+    return odds.astype(np.float32)
+
+
+def rate_of(scores: np.ndarray, n: np.ndarray) -> float:
+    """lambda: the positive root of sum n exp(lambda score) = sum n (1 if there is none)."""
+    if not n.sum() or not (n[scores > 0] > 0).any() or scores @ n >= 0:
+        return 1.0
+    share = n / n.sum()
     low, high = 1e-6, 1.0
-    grown = lambda x: share @ np.exp(np.minimum(x * score, 500)) - 1
+    grown = lambda x: share @ np.exp(np.minimum(x * scores, 500)) - 1
     while grown(high) < 0:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if grown(mid) < 0 else (low, mid)
-    return score, (low + high) / 2
+    return (low + high) / 2
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -103,10 +111,13 @@ def _scan(shared):
     piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches):
-        weights = shared.value
+        odds = shared.value
+        width = 2 * LIMIT * STEPS + 1
         for part in C.slices(batches):
-            bucket, row = _tokens(part.column("text"))
-            score = weights[bucket]
+            place, row = _tokens(part.column("text"))
+            score = odds[place].astype(np.float64) - DRIFT
+            step = np.clip(np.round(score * STEPS), -LIMIT * STEPS, LIMIT * STEPS).astype(np.int64) + LIMIT * STEPS
+            steps = np.bincount(row * width + step, minlength=part.num_rows * width).astype(np.int32)
             at = C.span_of_rows(row, part.num_rows)
             hot = np.zeros(part.num_rows, bool)
             hot[row[score > 0]] = True
@@ -115,38 +126,44 @@ def _scan(shared):
             columns = zip(*flat, strict=True) if flat else ([], [], [])
             parts = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, piece, strict=True)], [f.name for f in piece])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])], pa.int32()), parts)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(at)), lists], names=["row", "n_tokens", "segments"])
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * width, pa.int32()), pa.array(steps))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(at)), lists, counts], names=["row", "n_tokens", "segments", "steps"])
 
     return run
 
 
-@dataclass
-class Model:
-    weights: np.ndarray
-    rate: float  # lambda
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Token log-odds; ``labels`` has ``id`` and ``label`` (0 or 1), the prior comes from all of ``docs``."""
+    known = C.stored(_known(labels), "labels")
+    shared = docs.sparkSession.sparkContext.broadcast(C.bit_filter(known.select(F.col("id").cast("long"))))  # 32 MB at most
 
+    def labelled(batches):
+        for part in batches:
+            rows = np.flatnonzero(part.column("id").is_valid().to_numpy(zero_copy_only=False))
+            yield part.take(pa.array(rows[C.passes(shared.value, part.column("id").fill_null(0).to_numpy()[rows])]))
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> Model:
-    """Token log-odds; ``labels`` has ``id`` and ``label`` (0 or 1), the prior comes from all of ``docs``."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_known(labels), "id", "left").select("text", "label")
-    sums = rows.mapInArrow(_count, "bucket int, n long, toxic long, clean long").groupBy("bucket")
-    counts = np.zeros((3, BUCKETS))
-    for r in sums.agg(F.sum("n"), F.sum("toxic"), F.sum("clean")).toLocalIterator():  # BUCKETS rows at most
-        counts[:, r[0]] = r[1:]
-    return Model(*log_odds(*counts))
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    some = texts.mapInArrow(labelled, "id long, text string").join(known, "id").select("text", "label")
+    every = texts.select("text", F.lit(-1).alias("label"))
+    counts = np.zeros((3, 1 << PLACES))
+    for rows in (every, some):
+        sums = rows.mapInArrow(_count, "place int, label int, n long").groupBy("place", "label").agg(F.sum("n").alias("n")).toPandas()
+        counts[np.array([0, 2, 1])[sums["label"] + 1], sums["place"]] = sums["n"]  # two rows a place at most
+    return log_odds(*counts)
 
 
 def _known(labels: DataFrame) -> DataFrame:
     return labels.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label"))
 
 
-def passages(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its ``keep`` columns; all by default) with ``n_tokens`` and ``segments`` (token places and scores)."""
-    own = ["n_tokens", "segments"]
+def passages(docs: DataFrame, odds: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its ``keep`` columns; all by default) with ``n_tokens``, ``segments`` (token places
+    and scores) and ``steps`` (how many tokens have which score)."""
+    own = ["n_tokens", "segments", "steps"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("row"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model.weights)  # BUCKETS numbers
-    ddl = f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, segments array<struct<start:int,end:int,score:double>>"
+    shared = docs.sparkSession.sparkContext.broadcast(odds)  # of fixed size
+    ddl = f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, segments array<struct<start:int,end:int,score:double>>, steps array<int>"
     return packed.mapInArrow(_scan(shared), ddl).select(*(F.col("row").getField(c).alias(c) for c in keep), *own)
 
 
@@ -166,11 +183,12 @@ def _logistic(x: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[float, fl
     return float(beta[0]), float(max(beta[1] / 10, 0.0))
 
 
-def score(found: DataFrame, labels: DataFrame, model: Model, id: str = "doc_id") -> DataFrame:
+def score(found: DataFrame, labels: DataFrame, id: str = "doc_id") -> DataFrame:
     """``found`` (of ``passages``) with ``evidence``, ``n_significant`` and ``score``; ``labels`` teaches the calibration."""
-    rate = model.rate
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    known = found.select(F.col(id).alias("id"), "n_tokens", "segments").join(_known(labels), "id")
+    known = found.select(F.col(id).alias("id"), "n_tokens", "segments", "steps").join(_known(labels), "id")
+    steps = known.filter("label = 0").select(F.posexplode("steps").alias("i", "n")).filter("n > 0").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rate = rate_of(steps["i"].to_numpy(float) / STEPS - LIMIT, steps["n"].to_numpy(float))
     clean = known.filter("label = 0").filter(best > 0).agg(F.avg(rate * best - F.ln("n_tokens")).alias("m")).first()["m"]
     log_k = 0.0 if clean is None else clean - _EULER
     floor = F.ln(F.greatest("n_tokens", F.lit(1))) + log_k
@@ -190,5 +208,5 @@ def score(found: DataFrame, labels: DataFrame, model: Model, id: str = "doc_id")
     else:
         a, b = _logistic(bins["bin"].to_numpy(float) / BINS, n, ones)
         chance = 1 / (1 + F.exp(-(a + b * F.col("evidence"))))
-    keep = [c for c in found.columns if c not in ("evidence", "n_significant", "score")]
+    keep = [c for c in found.columns if c not in ("evidence", "n_significant", "score", "steps")]
     return found.select(*keep, bounded.alias("evidence"), many.alias("n_significant")).withColumn("score", chance)
