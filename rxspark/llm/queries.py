@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, near_dup, quality_classifier, quality_rules, sentence_pieces, toxicity, url_filter
+from rxspark.llm import decontamination, language_id, lattice_model, near_dup, quality_classifier, quality_rules, sentence_pieces, toxicity, url_filter
 from rxspark.llm.common import fold, read, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -107,3 +107,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(found, labels).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_significant"
     )
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    counts = lattice_model.count(docs.filter(~held_out))
+    lattice = lattice_model.fit(counts, sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+    done = lattice_model.score(docs, counts, lattice, keep=["doc_id"])
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
