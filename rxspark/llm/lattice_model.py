@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rxspark.llm import common as C
 from rxspark.llm.sentence_pieces import SPACE, Vocabulary
 
-ROUNDS = 2
+ROUNDS = 3
 FREQUENT = 1 << 18
 _HELD = 300_000  # words a task holds while it counts
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 5)
