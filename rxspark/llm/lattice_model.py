@@ -229,7 +229,7 @@ def _scan(shared):
             at = index.get_indexer(hashes) if len(keys) else np.full(len(hashes), -1)
             rows = part.num_rows
             hit = at >= 0
-            sums = [np.bincount(row[hit], values[at[hit], j], rows) for j in (0, 1)]
+            sums = [np.bincount(row[hit], values[at[hit], j], rows).astype(float) for j in (0, 1)]  # of nothing: whole numbers
             known = np.bincount(row[hit], minlength=rows)
             # the other words, once a text
             left = np.flatnonzero(~hit)

@@ -26,6 +26,7 @@ import string
 from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -106,6 +107,7 @@ class Encoder:
         stop = f"▁*+[{LATIN}]++(?=[{marks}])|" if marks else ""
         self.split = re.compile(stop + "▁+[^▁\n]*|\n|[^▁\n]+").findall
         self.stretches = _Stretches(lambda s: array("I", self.stretch(s)).tobytes())
+        self.controls = {i for i, k in enumerate(v.kinds) if k == "c"}
         self.edges = tuple(np.array([i], "<u4").tobytes() for i in (v.bos, v.eos))
         self.plain = [
             b" \xe2\x81\x87 " if k == "u" else b"" if k == "c" else bytes([int(p[3:5], 16)]) if k == "b" else p.replace(SPACE, " ").encode()
@@ -197,9 +199,13 @@ class Encoder:
         return self.edges[0] + b"".join(map(self.stretches.__getitem__, found)) + self.edges[1]
 
     def decode(self, ids: bytes) -> str:
-        plain = self.plain
-        raw = b"".join([plain[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "each-byte")
+        plain, numbers = self.plain, np.frombuffer(ids, "<u4").tolist()
+        first = next((i for i in numbers if plain[i]), None)
+        runs = [numbers]
+        if not self.controls.isdisjoint(numbers[1:-1]):  # bytes on the two sides of a control id make no character
+            runs = [list(run) for _, run in groupby(numbers, self.controls.__contains__)]
+        text = "".join([b"".join([plain[i] for i in run]).decode("utf-8", "each-byte") for run in runs])
+        return text[1:] if first is not None and self.vocabulary.pieces[first].startswith(SPACE) else text
 
 
 @lru_cache(maxsize=2)
