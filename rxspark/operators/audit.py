@@ -37,7 +37,10 @@ def history(audit: DataFrame) -> DataFrame:
 
 
 def recent(audit: DataFrame, k: int = 50) -> DataFrame:
-    return audit.orderBy(F.desc("created_at"), F.desc("id")).limit(min(k, 200))
+    """The newest ``k`` decisions; as in the service, more than 200 are refused."""
+    if not 1 <= k <= 200:
+        raise ValueError("between 1 and 200 decisions can be asked for")
+    return audit.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
 def to_actions(audit: DataFrame, action: str | None = None) -> DataFrame:

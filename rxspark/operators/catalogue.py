@@ -54,9 +54,12 @@ def number_drugs(clean: DataFrame) -> DataFrame:
 
 
 def stable_drugs(clean: DataFrame) -> DataFrame:
-    """Id from the row's own content: a new drug never renumbers the others. No sort, no shuffle."""
-    natural = [c for c in DRUG_COLUMNS if c != "id"]
-    return clean.withColumn("id", F.xxhash64(*natural)).select(*DRUG_COLUMNS)
+    """Id from the natural key (brand, presentation, dosage, laboratory): a new price or class keeps it, and a new drug
+    never renumbers the others. Of rows that share the key one stays, the greatest by its other columns."""
+    natural = ["brand_name", "presentation", "dosage_raw", "labo_name"]
+    rest = [c for c in DRUG_COLUMNS if c != "id" and c not in natural]
+    best = clean.groupBy(*natural).agg(F.max(F.struct(*rest)).alias("best"))
+    return best.select(F.xxhash64(*natural).alias("id"), *natural, "best.*").select(*DRUG_COLUMNS)
 
 
 def split_molecules(drugs: DataFrame) -> DataFrame:

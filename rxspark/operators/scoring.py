@@ -69,6 +69,7 @@ def fit_ignore_model(audit: DataFrame) -> PipelineModel:
 
 def score_alerts(model: PipelineModel, alerts: DataFrame) -> DataFrame:
     """``ai_ignore_proba`` with three decimals."""
-    scored = model.transform(score_features(alerts))
+    kept = alerts.select(F.struct(*alerts.columns).alias("_alert"), *alerts.columns)  # features fill in nulls
+    scored = model.transform(score_features(kept))
     proba = F.round(F.get(vector_to_array("probability"), F.lit(1)), 3).cast("decimal(4,3)")
-    return scored.select(*alerts.columns, proba.alias("ai_ignore_proba"))
+    return scored.select("_alert.*", proba.alias("ai_ignore_proba"))

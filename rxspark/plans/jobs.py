@@ -38,7 +38,7 @@ def publish_thesaurus(words: DataFrame, out: str) -> None:
     from pyspark.sql import functions as F
 
     rows = thesaurus.rebuild_interactions(words)
-    order = F.col("doc_id") * F.lit(2**40) + F.col("block") * F.lit(2**10) + F.col("record")
+    order = F.struct("doc_id", "block", "record")
     numbered = rows.withColumn("ord", order).drop("doc_id", "block", "record")
     catalogue_files.write_parquet(thesaurus.build_thesaurus(numbered), f"{out}/thesaurus")
 

@@ -69,8 +69,8 @@ def order_events(x: Inputs):
     )
 
 
-_NUMBERED = """, numbered AS (SELECT lpad(cast(prescription_id AS varchar), 15, '0') || '-' || lpad(cast(row_number() OVER
-      (PARTITION BY prescription_id ORDER BY id) - 1 AS varchar), 6, '0') AS id, prescription_id, drug_id, dci, dose_mg,
+_NUMBERED = """, numbered AS (SELECT lpad(cast(prescription_id AS varchar), 20, '0') || '-' || lpad(cast(row_number() OVER
+      (PARTITION BY prescription_id ORDER BY id) - 1 AS varchar), 10, '0') AS id, prescription_id, drug_id, dci, dose_mg,
       dose_unit_raw FROM fx_lines)"""
 query("event_lines", ["fx_lines", "fx_prescriptions"], _NUMBERED + " SELECT * FROM numbered")(
     lambda x: intake.event_lines(order_events(x))

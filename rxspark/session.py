@@ -29,9 +29,12 @@ def get_session(app: str = "rxspark", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (tests)."""
+    """Shared folder named by the cluster; a temporary one only on a local master without such a setting (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
         root = tempfile.mkdtemp(prefix="rxspark-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

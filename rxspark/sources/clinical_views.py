@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF = "2020-01-01"
 
 _LINE_ID = (
-    "lpad(cast(l_orderkey AS string), 15, '0') || '-' || lpad(cast(l_linenumber AS string), 5, '0')"
-    " || '-' || lpad(cast(l_partkey AS string), 12, '0') || '-' || lpad(cast(l_suppkey AS string), 10, '0')"
+    "lpad(cast(l_orderkey AS string), 20, '0') || '-' || lpad(cast(l_linenumber AS string), 10, '0')"
+    " || '-' || lpad(cast(l_partkey AS string), 20, '0') || '-' || lpad(cast(l_suppkey AS string), 20, '0')"
     " || '-' || replace(cast(cast(l_shipdate AS date) AS string), '-', '')"
 )
 
