@@ -12,12 +12,11 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
 4. In each node every class is compared with the node's smallest class, which costs one comparison a class however
    large the node is; nodes of at most SMALL classes are compared exhaustively. Links are contracted to components. In
    a larger node that still holds several, the classes outside its largest component are compared with all others if
-   they are at most SMALL; else the node branches further.
+   they are at most OTHERS; else the node branches further. What is still together after DEPTH levels is compared as well.
 5. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
    which are made from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
 
-So a group of near copies costs its size times the trees, never its square. Nodes that are still large at DEPTH are
-compared exhaustively as well, so nothing is capped. With the default trees, a pair at exactly the threshold that meets
+So a group of near copies costs its size times the trees, not its square, and nothing is capped. With the default trees, a pair at exactly the threshold that meets
 only small nodes is missed with a chance below 1e-10, and one that has to go down three levels with one of 1e-5.
 
 Defined cases: null text, or one without a word, has an empty set and no links. Rows that repeat an id are taken as
@@ -39,8 +38,9 @@ WORDS = 5
 PERCENT = 75
 SIGNATURE = 64
 TREES = 24
-SMALL = 24  # classes in a node, or outside its largest component, that are compared with all others
-DEPTH = 10
+SMALL = 48  # classes in a node that are compared exhaustively at once
+OTHERS = 400  # classes outside a node's largest component that are compared with all others
+DEPTH = 4  # levels; nodes that stay together so long hold much alike classes, or few
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +189,12 @@ def _across(nodes: DataFrame, percent: int, left: Column | None = None) -> DataF
     return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
 
 
+def _star(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of likely links between the members of a node and its smallest one."""
+    pairs = nodes.filter((F.col("m.id") != F.col("pivot.id")) & _alike("m", "pivot", percent))
+    return pairs.select(F.greatest("m.id", "pivot.id").alias("a"), F.least("m.id", "pivot.id").alias("b"))
+
+
 class _Links:
     """Links found so far, contracted to labels ``(id, component)``."""
 
@@ -243,30 +249,30 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     )
     work = _Links(texts, percent)
     rows = classes.withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.lit(17), t))))
-    for level in range(DEPTH + 1):
-        nodes = work.labelled(_branch(rows, level, percent).select("node", F.struct("id", "n", "s0", "s1").alias("m")))
-        shared = nodes.groupBy("node").agg(
-            F.count("*").alias("size"), F.min("m").alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")
-        )
-        nodes = C.stored(nodes.join(shared.filter("low != high").drop("low", "high"), "node"), "nodes")
-        star = nodes.filter((F.col("m.id") != F.col("pivot.id")) & _alike("m", "pivot", percent)).select(
-            F.col("m.id").alias("a"), F.col("pivot.id").alias("b")
+    member = F.struct("id", "n", "s0", "s1").alias("m")
+    nodes = _branch(rows, 0, percent).select("node", member)
+    shared = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("m").alias("pivot")).filter("size > 1")
+    nodes = C.stored(nodes.join(shared, "node").withColumn("c", F.col("m.id")), "nodes")
+    work.add(_star(nodes, percent).unionByName(_across(nodes.filter(F.col("size") <= SMALL), percent)))
+    nodes = nodes.filter(F.col("size") > SMALL).select("node", "m")
+    for level in range(1, DEPTH + 1):
+        # what the links so far have left apart
+        nodes = work.labelled(nodes)
+        parts = nodes.groupBy("node", "c").agg(F.count("*").alias("n"), F.min("m").alias("pivot"))
+        sizes = (
+            parts.groupBy("node")
+            .agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("c", "n").alias("main"), F.min("pivot").alias("pivot"))
+            .filter("others > 0")
         )
-        work.add(star.unionByName(_across(nodes.filter(F.col("size") <= SMALL), percent)))
-        # what the links of this level have left apart, in larger nodes
-        large = work.labelled(nodes.filter(F.col("size") > SMALL).select("node", "m"))
-        parts = large.groupBy("node", "c").agg(F.count("*").alias("n"))
-        sizes = parts.groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("c", "n").alias("main")).filter("others > 0")
-        large = C.stored(large.join(sizes, "node"), "large-nodes")
-        last = level == DEPTH
-        few = large if last else large.filter(F.col("others") <= SMALL)
-        work.add(_across(few, percent, F.col("c") != F.col("main")))
-        many = large.filter(F.col("others") > SMALL)
-        if last or many.isEmpty():
+        nodes = C.stored(nodes.join(sizes, "node"), "nodes")
+        few = nodes if level == DEPTH else nodes.filter(F.col("others") <= OTHERS)
+        many = nodes.filter(F.col("others") > OTHERS)
+        work.add(_across(few, percent, F.col("c") != F.col("main")).unionByName(_star(many, percent)))
+        if level == DEPTH or many.isEmpty():
             break
         # the members again with their signatures, one level down
         rows = many.select("node", F.col("m.id").alias("id")).join(classes.select("id", "n", "s0", "s1", "signature"), "id")
-        rows = rows.select("node", "id", "n", "s0", "s1", "signature")
+        nodes = _branch(rows.select("node", "id", "n", "s0", "s1", "signature"), level, percent).select("node", member)
     labels = work.labels
     joined = classes.select("print", "n", "id")
     if labels is not None:
