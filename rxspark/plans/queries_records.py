@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rxspark.functions import prompts
 from rxspark.operators import audit, explain, intake, kpi, reads, screening
@@ -181,13 +181,12 @@ query(
     F.sum("alert_count").alias("alert_count"), F.sum("line_count").alias("line_count")
 ))
 query(
-    "history_counts", VIEWS,
-    CONTEXT + """, alerts AS (SELECT prescription_id FROM ctx WHERE is_psychoactive)
-    SELECT p.id, coalesce(l.n, 0) AS line_count, coalesce(a.n, 0) AS alert_count FROM fx_prescriptions p
+    "history_counts", _WITH_TH,
+    ALERTS_CTE + """ SELECT p.id, coalesce(l.n, 0) AS line_count, coalesce(a.n, 0) AS alert_count FROM fx_prescriptions p
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM alerts GROUP BY 1) a USING (id)
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM fx_lines GROUP BY 1) l USING (id)""",
 )(lambda x: reads.history_counts(
-    x.view("fx_prescriptions"), x.view("fx_lines"), screening.line_alerts(drug_context(x), ["psychoactive"])
+    x.view("fx_prescriptions"), x.view("fx_lines"), all_alerts(x)
 ).select("id", "line_count", "alert_count"))
 query(
     "latest_per_patient", ["fx_prescriptions"],
@@ -209,11 +208,15 @@ query(
 
 
 def numbered(alerts):
-    """Alert ids from the alert's own values, for joins and comparisons."""
-    return alerts.withColumn("alert_id", F.concat_ws("#", "line_id", "rule", "title"))
+    """Alert ids from the alert's own values and, for alerts that are equal in all of them, a running number."""
+    own = ["line_id", "rule", "title", "detail"]
+    copy = F.row_number().over(Window.partitionBy(*own).orderBy("line_id"))
+    return alerts.withColumn("_copy", copy).withColumn("alert_id", F.concat_ws("#", *own, F.col("_copy").cast("string"))).drop("_copy")
 
 
-_NUMBERED_ALERTS = ALERTS_CTE + """, numbered AS (SELECT *, line_id || '#' || rule || '#' || title AS alert_id,
+_ALERT_ID = """line_id || '#' || rule || '#' || title || '#' || detail || '#' ||
+      cast(row_number() OVER (PARTITION BY line_id, rule, title, detail ORDER BY line_id) AS varchar) AS alert_id"""
+_NUMBERED_ALERTS = ALERTS_CTE + f""", numbered AS (SELECT *, {_ALERT_ID},
       trim(string_split(title, '—')[-1]) AS tail FROM alerts),
   aged AS (SELECT n.*, (SELECT age FROM ctx WHERE ctx.line_id = n.line_id) AS age FROM numbered n)"""
 
@@ -257,9 +260,9 @@ _FOUND = """, keyed AS (SELECT *, strip_accents(upper(dci_a)) AS ka, strip_accen
     WHERE contains(upper(a.title), ka) OR contains(upper(a.title), kb) GROUP BY ALL)"""
 query(
     "alert_interaction_context", _WITH_TH,
-    ALERTS_CTE + _FOUND + """ SELECT line_id || '#' || rule || '#' || a.title AS alert_id, th.dci_a, th.dci_b, th.level_fr, th.mechanism,
-      th.recommendation FROM alerts a JOIN first_row f ON f.prescription_id = a.prescription_id AND f.title = a.title JOIN th ON th.id = f.id
-    WHERE alert_type = 'INTERACTION' GROUP BY ALL""",
+    ALERTS_CTE + _FOUND + f""", ids AS (SELECT *, {_ALERT_ID} FROM alerts WHERE alert_type = 'INTERACTION')
+    SELECT alert_id, th.dci_a, th.dci_b, th.level_fr, th.mechanism, th.recommendation
+      FROM ids a JOIN first_row f ON f.prescription_id = a.prescription_id AND f.title = a.title JOIN th ON th.id = f.id""",
 )(lambda x: explain.interaction_context(
     numbered(stored(x, screening.interaction_alerts(drug_context(x), closed_thesaurus(x)))), drug_context(x),
     closed_thesaurus(x),
@@ -302,7 +305,7 @@ query(
 @query("alert_full_context")
 def _full_context(x: Inputs):
     """Every alert with its whole context and prompt (its parts have SQL of their own)."""
-    alerts = aged_alerts(x).dropDuplicates(["alert_id"])
+    alerts = aged_alerts(x)
     found = explain.alert_context(alerts, drug_context(x), closed_thesaurus(x), x.view("fx_drugs"))
     return explain.build_prompts(found).select("alert_id", *explain.CONTEXT_FIELDS, "prompt")
 

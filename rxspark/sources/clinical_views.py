@@ -98,7 +98,7 @@ VIEWS: dict[str, str] = {
                ELSE 'À prendre en compte' END AS level_fr,
           CASE p_size % 3 WHEN 0 THEN 'MAJOR' WHEN 1 THEN 'MODERATE' ELSE 'MINOR' END AS severity,
           p_type AS mechanism, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END AS recommendation
-        FROM {part} WHERE p_size % 4 = 0 AND p_name LIKE '%d %'""",
+        FROM {part}""",
     "fx_words": _WORDS,
     "fx_audit": """
         SELECT event_id AS id, event_id AS alert_id, ts AS created_at, user_id AS doctor_id,
