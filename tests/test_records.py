@@ -128,3 +128,82 @@ def test_late_rows_are_dropped_and_reruns_add_nothing(spark, tmp_path):
     rates = {(r.window_end - start).seconds // 60: r.per_minute for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rates == {5: 3 / 5, 45: 2 / 5}
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "audit")).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_line_ids_of_large_orders(spark):
+    big = 2**62
+    lines = [(1, "a", 1.0, "mg"), (2, "b", 1.0, "mg")]
+    events = spark.createDataFrame(
+        [(big + i, lines) for i in range(3)],
+        "id long, lines array<struct<drug_id:long,dci:string,dose_mg:double,dose_unit_raw:string>>",
+    )
+    ids = [r.id for r in intake.event_lines(events).orderBy("prescription_id", "drug_id").collect()]
+    assert len(set(ids)) == 6 and ids == sorted(ids)
+
+
+def test_verdicts_do_not_multiply_decisions(spark):
+    decisions = spark.createDataFrame(
+        [(1, "OVERRIDE", "une raison assez longue"), (1, "OVERRIDE", "une autre raison longue")], "alert_id long, decision string, justification string"
+    )
+    verdicts = spark.createDataFrame(
+        [(1, '{"valid": true, "feedback": "b"}', 2), (1, '{"valid": false, "feedback": "a"}', 1)], "alert_id long, verdict string, arrived_at int"
+    )
+    got = explain.judge_decisions(decisions, verdicts).collect()
+    assert len(got) == 2 and {(r.justification_valid, r.justification_feedback) for r in got} == {("valid", "b")}
+    alerts = spark.createDataFrame([(1, "MAJOR")], "alert_id long, severity string")
+    answers = spark.createDataFrame([(1, "x" * 30), (1, "y" * 40)], "alert_id long, answer string")
+    assert [r.rag_explanation for r in explain.attach_explanations(alerts, answers).collect()] == ["y" * 40]
+
+
+def test_refused_sizes(spark):
+    import pytest
+
+    from rxspark.operators import reads
+
+    audit_rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "id long, created_at timestamp")
+    for k in (0, 201):
+        with pytest.raises(ValueError):
+            audit.recent(audit_rows, k)
+    with pytest.raises(ValueError):
+        reads.search_drugs(audit_rows, audit_rows, ["a"], 21)
+
+
+def test_latest_of_a_busy_owner(spark):
+    from rxspark.operators import reads
+
+    rows = spark.range(6000).selectExpr("id", "1 AS patient_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id DIV 3) AS created_at")
+    got = reads.latest_per_owner(rows, "patient_id", 2000, 5).orderBy("position").collect()
+    assert [r.id for r in got] == [3999, 3998, 3997, 3996, 3995] and [r.position for r in got] == [2001, 2002, 2003, 2004, 2005]
+
+
+def test_work_folder_on_a_cluster(spark, tmp_path):
+    import pytest
+
+    from rxspark.session import checkpoint_root
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "setCheckpointDir": lambda self, path: None})()
+
+    with pytest.raises(ValueError):
+        checkpoint_root(Session())
+    Session.conf["spark.checkpoint.dir"] = str(tmp_path)
+    assert checkpoint_root(Session()) == str(tmp_path)
+    Session.conf.clear()
+    Session.sparkContext.master = "local[4]"
+    assert checkpoint_root(Session())
+
+
+def test_stable_drug_ids(spark):
+    from rxspark.operators.catalogue import DRUG_COLUMNS, stable_drugs
+
+    base = {c: None for c in DRUG_COLUMNS if c != "id"}
+    make = lambda price: {**base, "brand_name": "A", "dosage_raw": "1 mg", "price_ppv": price}
+    schema = ", ".join(f"{c} {'double' if c == 'price_ppv' else 'string'}" for c in base)
+    old = stable_drugs(spark.createDataFrame([make(1.0), make(1.0)], schema)).collect()
+    new = stable_drugs(spark.createDataFrame([make(2.0), {**make(3.0), "brand_name": "B"}], schema)).collect()
+    assert len(old) == 1 and {r.brand_name: r.id for r in new}["A"] == old[0].id and len({r.id for r in new}) == 2
