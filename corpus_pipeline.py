@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxspark.llm import decontamination, language_id, near_dup, sentence_pieces, suffix_dedup
-from rxspark.llm.common import read, stored
+from rxspark.llm.common import read, small_batches, stored
 
 ORACLE_SQL = None  # language codes, suffix arrays and pieces are beyond SQL; tests compare with brute force
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no learned language can be recognised."""
+    small_batches(spark)  # for this and the later stages
     model = language_id.fit(docs)
     found = language_id.identify(docs, model)
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)

@@ -27,6 +27,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows a record batch from here on: rows of whole texts are large, and a batch stands in memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared checkpoint folder and read back: a cut in the lineage that outlives executors."""
     path = work_path(df.sparkSession, name)

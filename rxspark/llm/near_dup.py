@@ -123,22 +123,10 @@ def _sets(shared):
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            lefts, rights = part.column("left"), part.column("right")
-            (a, la), (b, lb) = ((x.flatten().to_numpy(), np.r_[0, np.cumsum(x.value_lengths().to_numpy())]) for x in (lefts, rights))
-            keep = np.zeros(part.num_rows, bool)
-            for i in range(part.num_rows):
-                x, y = a[la[i] : la[i + 1]].view(np.uint64), b[lb[i] : lb[i + 1]].view(np.uint64)
-                if not len(x) or not len(y):
-                    continue
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
+def _confirmed(percent: int) -> Column:
+    """Whether two full sets, ``left`` and ``right``, are linked."""
+    both = F.size(F.array_intersect("left", "right"))
+    return 100 * both >= percent * (F.size("left") + F.size("right") - both)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,8 +213,8 @@ class _Links:
         links = C.stored(
             pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-            .select("a", "b", "left", "right")
-            .mapInArrow(_confirmed(self.percent), "a long, b long"),
+            .filter(_confirmed(self.percent))
+            .select("a", "b"),
             "confirmed",
         )
         if self.labels is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxspark.llm import decontamination, language_id, lattice_model, near_dup, quality_classifier, quality_rules, sentence_pieces, toxicity, url_filter
-from rxspark.llm.common import fold, read, stored
+from rxspark.llm.common import fold, read, small_batches, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_dup.linked_classes(read(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
@@ -98,6 +99,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
@@ -111,6 +113,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
     counts = lattice_model.count(docs.filter(~held_out))
