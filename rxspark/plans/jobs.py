@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rxspark.operators import catalogue, screening, thesaurus
+from rxspark.operators import catalogue, intake, screening, thesaurus
 from rxspark.sources import catalogue_files
 
 
@@ -35,8 +36,6 @@ def publish_catalogue(raw: DataFrame, out: str) -> None:
 
 def publish_thesaurus(words: DataFrame, out: str) -> None:
     """Rebuild, fix, deduplicate and close the interaction thesaurus. Source order is document, block, record."""
-    from pyspark.sql import functions as F
-
     rows = thesaurus.rebuild_interactions(words)
     order = F.struct("doc_id", "block", "record")
     numbered = rows.withColumn("ord", order).drop("doc_id", "block", "record")
@@ -51,8 +50,12 @@ def load_knowledge(spark: SparkSession, path: str) -> Knowledge:
 def screen_all(
     knowledge: Knowledge, prescriptions: DataFrame, lines: DataFrame, patients: DataFrame, as_of: str, out: str
 ) -> None:
-    """Screen every prescription and write the alerts."""
+    """Check references, write the rejected prescriptions with their reasons, screen the others and write the alerts."""
+    checked = intake.check_references(prescriptions, lines, patients, knowledge.drugs)
+    catalogue_files.write_parquet(checked, f"{out}/checked")
+    checked = prescriptions.sparkSession.read.parquet(f"{out}/checked")
+    accepted = checked.filter("accepted").select(F.col("id").alias("prescription_id"))
     alerts = screening.screen(
-        prescriptions, lines, patients, knowledge.profiles, knowledge.thesaurus, as_of
+        prescriptions, lines.join(accepted, "prescription_id", "left_semi"), patients, knowledge.profiles, knowledge.thesaurus, as_of
     )
     catalogue_files.write_parquet(alerts, f"{out}/alerts")

@@ -207,3 +207,22 @@ def test_stable_drug_ids(spark):
     old = stable_drugs(spark.createDataFrame([make(1.0), make(1.0)], schema)).collect()
     new = stable_drugs(spark.createDataFrame([make(2.0), {**make(3.0), "brand_name": "B"}], schema)).collect()
     assert len(old) == 1 and {r.brand_name: r.id for r in new}["A"] == old[0].id and len({r.id for r in new}) == 2
+
+
+def test_audit_log_is_complete(spark, tmp_path):
+    """Repeats and rows that come days late: each decision is stored once."""
+    start = dt.datetime(2024, 5, 1)
+    schema = "id long, ts timestamp, kind string"
+
+    def add(name, rows):
+        data = [(i, start + dt.timedelta(days=d), "a") for i, d in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        jobs.audit_sink(stream, "ts", "id", str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+
+    for name, rows in (("one", [(1, 9), (2, 9), (2, 9)]), ("two", []), ("three", [(1, 9), (3, 0)]), ("four", [(3, 0), (4, 20)])):
+        add(name, rows)
+        run()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2, 3, 4]
