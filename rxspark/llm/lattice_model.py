@@ -36,6 +36,7 @@ ROUNDS = 3
 FREQUENT = 1 << 18
 _HELD = 300_000  # words a task holds while it counts
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 5)
+_TOGETHER = 50_000  # words of which expectations are taken at once
 _CELLS = 200_000  # characters of words of one length looked at together
 
 
@@ -71,10 +72,13 @@ class Lattice:
         self._singles = {p for i in normal for p in [v.pieces[i]] if len(p) == 1}
 
     def _groups(self, words: list[str]):
-        """Words of one length at a time: their places, character codes, and ids and log-probabilities by piece length."""
+        """Words of one length at a time: their places, and by piece length the ids and log-probabilities at each start.
+
+        Arrays have a row for each start and a column for each word; lengths without a piece are left out.
+        """
         self.ready()
         lengths = np.array([len(w) for w in words])
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         begin = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
@@ -83,54 +87,59 @@ class Lattice:
             most = max(1, _CELLS // n)
             for a in range(0, len(same), most):
                 own = same[a : a + most]
-                matrix = codes[begin[own][:, None] + np.arange(n)]
-                rolling = np.zeros((len(own), n), np.uint64)
-                ids, logs = [], []
+                matrix = codes[begin[own] + np.arange(n)[:, None]]
+                rolling = np.zeros((n, len(own)), np.uint64)
+                pieces = []
                 for size in range(1, min(n, self.longest) + 1):
-                    rolling = rolling[:, : n - size + 1] * _STEP + matrix[:, size - 1 :] + np.uint64(1)
+                    rolling = rolling[: n - size + 1] * _STEP + matrix[size - 1 :] + np.uint64(1)
                     at = self._index.get_indexer(rolling.ravel().view(np.int64)).reshape(rolling.shape)
-                    ids.append(np.where(at >= 0, self._ids[at], -1))
-                    logs.append(np.where(at >= 0, self.logs[self._ids[at]], -np.inf))
-                alien = np.flatnonzero((ids[0] < 0).any(axis=1))
-                spelled = []
-                for i in alien.tolist():  # characters that are no piece: one path, byte by byte
-                    for j in np.flatnonzero(ids[0][i] < 0).tolist():
-                        pieces = self._bytes[list(chr(int(matrix[i, j])).encode("utf-8", "surrogatepass"))]
-                        logs[0][i, j] = self.logs[pieces].sum()
-                        spelled.append((i, j, pieces))
-                yield own, n, ids, logs, spelled
+                    if size == 1 or (at >= 0).any():
+                        ids = self._ids[at]
+                        pieces.append((size, np.where(at >= 0, ids, -1), np.where(at >= 0, self.logs[ids], -np.inf)))
+                first, spelled = pieces[0], []
+                for j, i in np.argwhere(first[1] < 0).tolist():  # characters that are no piece: one path, byte by byte
+                    own_bytes = self._bytes[list(chr(int(matrix[j, i])).encode("utf-8", "surrogatepass"))]
+                    first[2][j, i] = self.logs[own_bytes].sum()
+                    spelled.append((j, i, own_bytes))
+                yield own, n, pieces, spelled
 
     @staticmethod
-    def _forward(n: int, logs: list[np.ndarray], rows: int) -> np.ndarray:
-        alpha = np.full((rows, n + 1), -np.inf)
-        alpha[:, 0] = 0
+    def _forward(n: int, logs: list[tuple[int, np.ndarray]], words: int) -> np.ndarray:
+        """Log of the summed probability of all ways to each place."""
+        alpha = np.full((n + 1, words), -np.inf)
+        alpha[0] = 0
         for end in range(1, n + 1):
-            ways = [alpha[:, end - size] + logs[size - 1][:, end - size] for size in range(1, min(end, len(logs)) + 1)]
-            alpha[:, end] = np.logaddexp.reduce(ways, axis=0)
+            ways = [alpha[end - size] + log[end - size] for size, log in logs if size <= end]
+            most = ways[0].copy()
+            for way in ways[1:]:
+                np.maximum(most, way, out=most)
+            most[np.isneginf(most)] = 0
+            alpha[end] = most + np.log(sum(np.exp(way - most) for way in ways))
         return alpha
 
     def likelihood(self, words: list[str]) -> np.ndarray:
         """log10 of the marginal probability of each word (already spelled)."""
         out = np.zeros(len(words))
         if words:
-            for own, n, _, logs, _ in self._groups(words):
-                out[own] = self._forward(n, logs, len(own))[:, n]
+            with np.errstate(divide="ignore"):
+                for own, n, pieces, _ in self._groups(words):
+                    out[own] = self._forward(n, [(size, log) for size, _, log in pieces], len(own))[n]
         return out / np.log(10)
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """How often each piece is expected in all segmentations of the weighted words."""
         total = np.zeros(len(self.logs))
-        for own, n, ids, logs, spelled in self._groups(words) if words else ():
-            alpha = self._forward(n, logs, len(own))
-            beta = self._forward(n, [x[:, ::-1] for x in logs], len(own))[:, ::-1]
-            weight = weights[own][:, None]
-            for size, (piece, log) in enumerate(zip(ids, logs, strict=True), 1):
-                share = np.exp(alpha[:, : n - size + 1] + log + beta[:, size:] - alpha[:, n :]) * weight
-                some = piece >= 0
-                total += np.bincount(piece[some], share[some], len(total))
-                if size == 1:
-                    for i, j, pieces in spelled:
-                        np.add.at(total, pieces, share[i, j])
+        with np.errstate(divide="ignore"):
+            for own, n, pieces, spelled in self._groups(words) if words else ():
+                alpha = self._forward(n, [(size, log) for size, _, log in pieces], len(own))
+                beta = self._forward(n, [(size, log[::-1]) for size, _, log in pieces], len(own))[::-1]
+                for size, ids, logs in pieces:
+                    some = ids >= 0
+                    share = np.exp(alpha[: n - size + 1] + logs + beta[size:] - alpha[n]) * weights[own]
+                    total += np.bincount(ids[some], share[some], len(total))
+                    if size == 1:
+                        for j, i, own_bytes in spelled:
+                            np.add.at(total, own_bytes, share[j, i])
         return total
 
 
@@ -198,12 +207,22 @@ def fit(counts: Counts, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Lattice
 
         def expected(batches, shared=shared):
             schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
-            total = None
+            total, words, weights = 0, [], []
+
+            def settled():
+                own = shared.value.expected(words, np.concatenate(weights).astype(float))
+                words.clear()
+                weights.clear()
+                return own
+
             for part in batches:
-                words = [_spelled(w) for w in part.column("word").to_pylist()]
-                own = shared.value.expected(words, part.column("c").to_numpy().astype(float))
-                total = own if total is None else total + own
-            if total is not None:
+                words += [_spelled(w) for w in part.column("word").to_pylist()]
+                weights.append(part.column("c").to_numpy())
+                if len(words) >= _TOGETHER:
+                    total = total + settled()
+            if words:
+                total = total + settled()
+            if np.ndim(total):
                 some = np.flatnonzero(total)
                 yield C.batch(schema, some.astype(np.int32), total[some])
 
