@@ -21,13 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxspark.llm import common as C
 
 ORDER = 5
-SLOTS = 1 << 18  # per order
+BITS = 16
+SLOTS = 1 << BITS  # per order
 BINS = 200  # per unit of difference, in natural logarithms per byte
 _LIMIT = 10 * BINS
 
@@ -92,11 +94,11 @@ def _counts(batches):
         side = part.column("side").to_numpy()
         for k in range(ORDER + 1):
             context, pair, row, _ = _places(part.column("url"), k)
-            key = (side[row].astype(np.int64) << 36) | (context << 18) | pair
+            key = (side[row].astype(np.int64) << 2 * BITS) | (context << BITS) | pair
             count = pd.Series(key).value_counts(sort=False)
             keys = count.index.to_numpy()
             yield C.batch(
-                schema, (keys >> 36).astype(np.int32), np.full(len(keys), k, np.int32), (keys >> 18 & SLOTS - 1).astype(np.int32),
+                schema, (keys >> 2 * BITS).astype(np.int32), np.full(len(keys), k, np.int32), (keys >> BITS & SLOTS - 1).astype(np.int32),
                 (keys & SLOTS - 1).astype(np.int32), count.to_numpy(),
             )
 
@@ -110,6 +112,7 @@ class Model:
     pairs: np.ndarray
     threshold: float = 0.0
     ready: bool = False
+    sent: Broadcast | None = None  # on the driver: the copy that tasks read
 
     def difference(self, column: pa.Array) -> np.ndarray:
         """Accepted minus rejected log-likelihood per byte of every URL."""
@@ -138,7 +141,9 @@ def _differences(shared):
 def _with_difference(urls: DataFrame, model: Model, url: str) -> DataFrame:
     keep = [c for c in urls.columns if c != "difference"]
     packed = urls.select(F.struct(F.lit(0).alias("_"), *keep).alias("row"), F.col(url).alias("url"))
-    shared = urls.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    if model.sent is None:
+        model.sent = urls.sparkSession.sparkContext.broadcast(model)  # of fixed size, once
+    shared = model.sent
     done = packed.mapInArrow(_differences(shared), f"row {packed.schema['row'].dataType.simpleString()}, difference double")
     return done.select(*(F.col("row").getField(c).alias(c) for c in keep), "difference")
 
