@@ -3,20 +3,26 @@
 Words are runs of letters and digits, lower-cased. A mask is laid over every place of a text; the words under its ones
 are hashed together, so the words under its zeros may differ. Equal hashes of an item and a document give a diagonal
 (place in the document minus place in the item); along it, words are compared one to one in the whole stretch around
-the hits. A pair is reported if some WINDOW words in a row (the whole item if it is shorter) agree in at least SHARE.
+the hits. A pair is reported if some WINDOW words in a row (the whole item if it is shorter) agree in at least SHARE;
+words of the item before the begin of the document or after its end agree with nothing.
+
+The masks leave nothing out: wherever the words that may differ stand in a window (or a short item), some mask lies in it
+with none of them under its ones. Each length has a family of its own, the heaviest masks of which FAMILY are enough.
 
 Tests of documents against items are equi-joins on the hash. Documents first drop hashes that no item can have, by a
 bit filter of the items' hashes whose size is fixed between 2^20 and 2^28 bits. What is left goes as *regions*: the
 hits and the hashed words REACH around them, so a join row is small and no text is shuffled.
 
-Defined cases: null or empty texts match nothing; items of fewer than SHORTEST words are not searched, items shorter
-than a mask are searched whole, word for word. Rows without an id are not searched and always kept; rows that repeat an
+Defined cases: null or empty texts match nothing; items of fewer than SHORTEST words are not searched. Rows without an id are not searched and always kept; rows that repeat an
 id are dropped together. Items that repeat are reported once per item id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +31,41 @@ from pyspark.sql import functions as F
 
 from rxspark.llm import common as C
 
-MASKS = ("11111111", "111010010111", "110110101011", "101101110011")
 SHORTEST = 5
 WINDOW = 16
 SHARE = 0.75
 REACH = 32
-
-
-def _masks(short: list[int]) -> list[str]:
-    """The fixed masks, and a full one for each length of a short item."""
-    return [*MASKS, *("1" * n for n in sorted(short))]
+FAMILY = 6  # masks of one length
+HEAVIEST = 8
+SPAN = 16
+PLACEMENTS = 2000
+
+
+@lru_cache(maxsize=256)
+def _family(length: int, differ: int) -> tuple[str, ...]:
+    """Masks of which one fits between any ``differ`` words of ``length``, chosen greedily: few and heavy."""
+    if math.comb(length, differ) <= PLACEMENTS:
+        zeros = np.array([sum(1 << i for i in c) for c in combinations(range(length), differ)], np.int64)
+        for weight in range(min(HEAVIEST, length - differ), 1, -1):
+            masks = [
+                sum(1 << i for i in (0, *inner, span - 1))
+                for span in range(weight, min(SPAN, length) + 1)
+                for inner in combinations(range(1, span - 1), weight - 2)
+            ]
+            free = np.array([np.any([zeros & m << i == 0 for i in range(length - m.bit_length() + 1)], axis=0) for m in masks])
+            left, chosen = np.ones(len(zeros), bool), []
+            while left.any() and len(chosen) < FAMILY:
+                best = int(free[:, left].sum(axis=1).argmax())
+                chosen.append(f"{masks[best]:b}")
+                left &= ~free[best]
+            if not left.any():
+                return tuple(chosen)
+    return ("1" * min(HEAVIEST, -(-(length - differ) // (differ + 1))),)  # the longest run of equal words has so many
+
+
+def _families(lengths: list[int], share: float) -> dict[int, tuple[str, ...]]:
+    """Masks for items of each length."""
+    return {n: _family(n, n - math.ceil(n * share)) for n in sorted(lengths)}
 
 
 def _seeds(words: np.ndarray, row: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +90,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["item", "words"])
 
 
-def _item_seeds(masks: list[str]):
+def _item_seeds(families: dict[int, tuple[str, ...]], window: int):
     schema = pa.schema([("item", pa.int64()), ("hash", pa.int64()), ("place", pa.int32())])
 
     def run(batches):
@@ -68,13 +99,12 @@ def _item_seeds(masks: list[str]):
             words = lists.flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
             at = C.span_of_rows(row, part.num_rows)
-            size = np.diff(at)
+            size = np.minimum(np.diff(at), window)
             ids = part.column("item").to_numpy()
-            for mask in masks:
+            for mask in sorted({m for family in families.values() for m in family}):
                 hashes, place = _seeds(words, row, mask)
-                if mask not in MASKS:  # a full mask is for items of its length
-                    own = size[row[place]] == len(mask)
-                    hashes, place = hashes[own], place[own]
+                own = np.isin(size[row[place]], [n for n, family in families.items() if mask in family])
+                hashes, place = hashes[own], place[own]
                 if len(place):
                     r = row[place]
                     yield C.batch(schema, ids[r], hashes.view(np.int64), (place - at[r]).astype(np.int32))
@@ -82,12 +112,14 @@ def _item_seeds(masks: list[str]):
     return run
 
 
-def _regions(shared, masks: list[str]):
+def _regions(shared, masks: list[str], reach: int):
     hit = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
     schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("hits", pa.list_(hit)), ("words", pa.list_(pa.int64()))])
 
     def run(batches):
         table = shared.value
+        if not masks:  # no item is long enough
+            return
         for part in C.slices(batches):
             words, row = C.word_hashes(part.column("text"), 7, C.SEPARATORS)
             places, found, spans = [], [], []
@@ -105,7 +137,7 @@ def _regions(shared, masks: list[str]):
             place, hashes, span = place[order], hashes[order], span[order]
             at = C.span_of_rows(row, part.num_rows)
             r = row[place]
-            a, b = np.maximum(place - REACH, at[r]), np.minimum(place + span + REACH, at[r + 1])
+            a, b = np.maximum(place - reach, at[r]), np.minimum(place + span + reach, at[r + 1])
             far = np.maximum.accumulate(b)
             new = np.r_[True, (a[1:] > far[:-1]) | (r[1:] != r[:-1])]
             first = np.flatnonzero(new)
@@ -136,15 +168,15 @@ def overlaps(
     spark = docs.sparkSession
     sides = items.select(F.col(item_id).cast("long").alias("id"), F.lower(item_text).alias("text")).filter("id IS NOT NULL")
     words = C.stored(sides.mapInArrow(_items, "item long, words array<long>").filter(F.size("words") >= SHORTEST), "items")
-    longest = max(map(len, MASKS))
-    short = [r[0] for r in words.select(F.size("words")).distinct().filter(F.size("words") < longest).collect()]  # a few lengths
-    masks = _masks(short)
-    seeds = C.stored(words.mapInArrow(_item_seeds(masks), "item long, hash long, place int").distinct(), "item-seeds")
+    lengths = [r[0] for r in words.select(F.least(F.size("words"), F.lit(window))).distinct().collect()]  # window - SHORTEST + 1 at most
+    families = _families(lengths, share)
+    masks = sorted({m for family in families.values() for m in family})
+    seeds = C.stored(words.mapInArrow(_item_seeds(families, window), "item long, hash long, place int").distinct(), "item-seeds")
     table = C.bit_filter(seeds.select("hash"))
     shared = spark.sparkContext.broadcast(table)  # 32 MB at most
     texts = docs.select(F.col(id).cast("long").alias("id"), F.lower(text).alias("text")).filter("id IS NOT NULL")
     regions = C.stored(
-        texts.mapInArrow(_regions(shared, masks), "id long, start int, hits array<struct<hash:long,at:int>>, words array<long>"), "regions"
+        texts.mapInArrow(_regions(shared, masks, max(REACH, window)), "id long, start int, hits array<struct<hash:long,at:int>>, words array<long>"), "regions"
     )
     diagonals = (
         regions.select("id", "start", F.explode("hits").alias("hit"))
@@ -156,19 +188,24 @@ def overlaps(
     both = (
         diagonals.join(regions.select("id", "start", F.col("words").alias("here")).dropDuplicates(), ["id", "start"])
         .join(words, "item")
+        .withColumn("width", F.least(F.size("words"), F.lit(window)))
         .withColumn("skip", F.greatest(F.lit(0), -F.col("shift")))  # words of the item before the region
         .withColumn("from", F.greatest(F.lit(0), "shift"))
         .withColumn("n", F.least(F.size("words") - F.col("skip"), F.size("here") - F.col("from")))
         .filter("n > 0")
+        .withColumn("before", F.least("skip", "width"))
+        .withColumn("after", F.least(F.size("words") - F.col("skip") - F.col("n"), F.col("width")))
         .withColumn(
             "same",
-            F.zip_with(F.expr("slice(words, skip + 1, n)"), F.expr("slice(here, from + 1, n)"), lambda x, y: (x == y).cast("int")),
+            F.concat(
+                F.expr("array_repeat(0, before)"),
+                F.zip_with(F.expr("slice(words, skip + 1, n)"), F.expr("slice(here, from + 1, n)"), lambda x, y: (x == y).cast("int")),
+                F.expr("array_repeat(0, after)"),
+            ),
         )
-        .withColumn("width", F.least(F.size("words"), F.lit(window)))
-        .filter("n >= width")
     )
     sums = F.transform(
-        F.sequence(F.lit(0), F.col("n") - F.col("width")),
+        F.sequence(F.lit(0), F.size("same") - F.col("width")),
         lambda i: F.struct(
             F.aggregate(F.slice("same", i + 1, F.col("width")), F.lit(0), lambda a, x: a + x).alias("n_matched"), (-i).alias("i")
         ),
@@ -177,7 +214,7 @@ def overlaps(
     return (
         best.select(
             "id", "item", F.col("best.n_matched").alias("n_matched"), F.col("width").alias("n_window"),
-            (F.col("start") + F.col("from") - F.col("best.i")).alias("first_word"), F.size("words").alias("n_item_words"),
+            F.greatest(F.lit(0), F.col("start") + F.col("from") - F.col("before") - F.col("best.i")).alias("first_word"), F.size("words").alias("n_item_words"),
         )
         .groupBy("id", "item")
         .agg(F.max(F.struct("n_matched", (-F.col("first_word")).alias("first"), "n_window", "n_item_words")).alias("b"))

@@ -120,6 +120,51 @@ def test_benchmark_overlaps(spark):
     assert {r.doc_id for r in left.collect()} == ({i for i, _ in docs} | {None, 99}) - {i for i, _ in got}
 
 
+def agrees(text: str, item: str) -> bool:
+    """Whether some window of 16 words (or the shorter item) agrees in three quarters, by that rule alone."""
+    a, b = text.lower().split(), item.split()
+    width = min(16, len(b))
+    for shift in range(-len(b), len(a)):
+        same = [0 <= j + shift < len(a) and a[j + shift] == b[j] for j in range(len(b))]
+        if any(sum(same[s : s + width]) >= 0.75 * width for s in range(len(b) - width + 1)):
+            return True
+    return False
+
+
+def test_benchmark_overlaps_by_the_rule_alone(spark):
+    """Any words differ: every fourth or sixth from each phase, as many as allowed or one more, and cut at both ends."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items = [(n, [word() for _ in range(n)]) for n in [*range(5, 19), 24, 33]]
+    docs = []
+    for n, own in items:
+        width = min(16, n)
+        allowed = width - -(-3 * width // 4)
+        leaks = [[w if i % step != phase else word() for i, w in enumerate(own)] for step in (4, 6) for phase in range(step)]
+        for extra in (0, 0, 0, 1):
+            gone = set(rng.sample(range(width), allowed + extra))
+            leaks.append([w if i not in gone else word() for i, w in enumerate(own[:width])])
+        around = lambda: [word() for _ in range(rng.randint(0, 40))]
+        texts = [[*around(), *leak, *around()] for leak in leaks]
+        texts += [own[allowed:] + around(), around() + own[: width - allowed], own[: width - allowed - 1]]
+        docs += [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(n, " ".join(own)) for n, own in items], "item_id long, text string")
+    want = {(i, n) for i, t in enumerate(docs) for n, own in items if not set(own).isdisjoint(t.split()) and agrees(t, " ".join(own))}
+    got = decontamination.overlaps(df, bench).collect()
+    assert {(r.id, r.item) for r in got} == want and len(got) == len(want)
+
+
+def test_masks_fit_between_any_differing_words():
+    from itertools import combinations
+
+    for length in range(decontamination.SHORTEST, 17):
+        differ = length - -(-3 * length // 4)
+        masks = [[j for j, x in enumerate(m) if x == "1"] for m in decontamination._families([length], 0.75)[length]]
+        for gone in combinations(range(length), differ):
+            assert any(not {i + j for j in m} & set(gone) for m in masks for i in range(length - m[-1])), (length, gone)
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert suffix_dedup.suffix_dedup(none).count() == 0
