@@ -96,6 +96,15 @@ def _ranges(ids: np.ndarray, a: np.ndarray, e: np.ndarray):
     return ids[at], a[at], (reach & 0xFFFFFFFF)[np.r_[at[1:], len(ids)] - 1]
 
 
+def _elsewhere(new: np.ndarray, ids: np.ndarray, a: np.ndarray, first: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Which rows of classes stand at another id or place than the first of their class.
+
+    ``new`` marks where classes begin; rows before the first mark go on with a class whose first row is ``first``.
+    """
+    own = np.cumsum(new)
+    return (np.r_[first[0], ids[new]][own] != ids) | (np.r_[first[1], a[new]][own] != a)
+
+
 def _candidates(length: int):
     schema = _arrow(_CANDIDATES)
 
@@ -106,7 +115,8 @@ def _candidates(length: int):
         keep = np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])]
         yield C.batch(schema, h[keep].view(np.int64), fp[keep].view(np.int64), ids[keep], a[keep].astype(np.int32),
                       ((p - a) * 4096 + (e - a))[keep].astype(np.int32))
-        i, s, t = _ranges(ids[~keep], a[~keep], e[~keep])
+        again = _elsewhere(keep, ids, a)
+        i, s, t = _ranges(ids[again], a[again], e[again])
         if len(i):
             key = C.mix(i.astype(np.uint64)).view(np.int64)
             yield C.batch(schema, key, np.zeros(len(i), np.int64), i, s.astype(np.int32), (s - t - 1).astype(np.int32))
@@ -132,6 +142,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, fp, id, a): repeated ranges (kind 0), contexts of shared anchors (1), very common anchors (2)."""
     schema = _arrow(_FOUND)
     last_h = last_fp = None
+    first_of = (0, 0)
     count, pending = 0, None
     for part in batches:
         h, fp, ids, a, shape = (part.column(i).to_numpy() for i in range(5))
@@ -144,14 +155,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         new_h = np.r_[last_h is None or h[0] != last_h, h[1:] != h[:-1]]
         new = new_h | np.r_[last_fp is None or fp[0] != last_fp, fp[1:] != fp[:-1]]
-        if not new.all():
-            x = ~new
-            n = int(x.sum())
+        x = _elsewhere(new, ids, a, first_of)
+        n = int(x.sum())
+        if n:
             yield C.batch(schema, np.zeros(n, np.int32), h[x], np.zeros(n, np.int32), ids[x], a[x], shape[x] % 4096 + 1)
         if new_h[0]:
             count, pending = 0, None
         r = np.flatnonzero(new)
         if len(r):
+            first_of = (ids[r[-1]], a[r[-1]])
             group = np.cumsum(new_h[r])  # 0: goes on from the batch before
             first = np.searchsorted(group, group)
             index = np.arange(len(r)) - first + np.where(group == 0, count, 0)
@@ -232,7 +244,8 @@ def _settle(group, h, hot, ids, a, at, data, begin, length, schema):
     print_ = C.mix(C.RollingHash(data, 2)(start, stop) + C.mix(left.astype(np.uint64)))
     order = np.lexsort((place, ids, print_, group))
     new = np.r_[True, (np.diff(group[order]) != 0) | (print_[order][1:] != print_[order][:-1])]
-    out = [(ids[order[~new]], place[order[~new]], (place + (stop - start) - length)[order[~new]])]
+    again = order[_elsewhere(new, ids[order], place[order])]
+    out = [(ids[again], place[again], (place + (stop - start) - length)[again])]
     rep = order[new]
     rep = rep[np.argsort(group[rep], kind="stable")]
     sizes = (stop - start)[rep]
@@ -265,9 +278,10 @@ def _block(raw, start, stop, ids, place, h, hot, length, schema, out):
     where = place[owner] + order - base[owner]
     by = np.lexsort((where, ids[owner], kind))
     order, kind, owner, where = order[by], kind[by], owner[by], where[by]
-    again = np.r_[False, kind[1:] == kind[:-1]]
+    new = np.r_[True, kind[1:] != kind[:-1]]
+    again = _elsewhere(new, ids[owner], where)
     out.append((ids[owner[again]], where[again], where[again]))
-    first = ~again & hot[owner]
+    first = new & hot[owner]
     if first.any():
         codes = np.frombuffer(text, np.uint8)
         window = C.mix(C.RollingHash(codes, 3)(order[first], order[first] + length)).view(np.int64)

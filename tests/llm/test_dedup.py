@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from llm_helpers import documents, empty, linked, overlap, rows, shingles, without_repeats
 from pyspark.sql import functions as F
 
@@ -54,6 +55,28 @@ def test_common_anchors_meet_across_blocks(spark, monkeypatch):
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(docs).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+@pytest.mark.parametrize("contexts", [2000, 3])
+def test_repeated_rows_keep_their_text(spark, monkeypatch, parts, contexts):
+    """Two rows of one id with the same text: neither is earlier, alone or beside other rows with parts of that text."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", contexts)
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    alone, shared, twice = prose(400), prose(130), prose(150)
+    one = [(1, alone), (2, prose(60) + shared + prose(60)), (3, twice + "-" + twice), (4, alone + prose(50))]
+    one += [(10 + i, prose(70) + shared[i % 7 :] + prose(70)) for i in range(20)]
+    docs = one[:4] + [(2, one[1][1] + prose(90)), *one]  # and a longer row of an id
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    df = df if parts == 1 else df.limit(5).coalesce(1).union(spark.createDataFrame(docs[5:], "doc_id long, text string").coalesce(1))
+    want = without_repeats([(i, t.encode()) for i, t in one])
+    got = suffix_dedup.suffix_dedup(df).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        tail = r.text[len(one[1][1]) :] if r.doc_id == 2 else ""
+        assert bytes(r.kept) == want[r.doc_id] + tail.encode(), r.doc_id
+    assert want[1] and want[2] and len(want[3]) == 151
+
+
 def test_cut_text_has_whole_characters(spark):
     data = [(1, "é" * 120), (2, "xé" + "é" * 118 + "y")]
     docs = spark.createDataFrame(data, "doc_id long, text string")
