@@ -258,7 +258,7 @@ def _settle(group, h, hot, ids, a, at, data, begin, length, schema):
         if i + 1 < len(ends) and total[ends[i + 1]] - total[begin_of] <= BLOCK_BYTES:
             continue
         these = rep[begin_of:end]
-        if end - begin_of > 1:
+        if end - begin_of > 1 or hot[these].any():  # the windows of a hot anchor meet those of its other blocks
             yield from _block(raw, start[these], stop[these], ids[these], place[these], h[these], hot[these], length, schema, out)
         begin_of = end
     i, s, e = _ranges(*(np.concatenate(x) for x in zip(*out, strict=True)))

@@ -77,6 +77,20 @@ def test_repeated_rows_keep_their_text(spark, monkeypatch, parts, contexts):
     assert want[1] and want[2] and len(want[3]) == 151
 
 
+def test_last_block_of_a_hot_anchor_with_one_context():
+    """A context alone in its block is still sent to meet the other blocks, if its anchor is cut over several."""
+    import pyarrow as pa
+
+    schema = suffix_dedup._arrow(suffix_dedup._CONTEXTS)
+    for hot in (True, False):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(x, f.type) for x, f in zip([[5], [1], [hot], [7], [40], [20], [bytes(range(110))]], schema, strict=True)], schema=schema
+        )
+        sent = [r for b in suffix_dedup._arrays(100)([batch]) for r in b.to_pylist()]
+        assert sorted(r["a"] for r in sent if r["kind"] == 1) == ([*range(40, 51)] if hot else [])
+        assert all(r["kind"] == 1 for r in sent)
+
+
 def test_cut_text_has_whole_characters(spark):
     data = [(1, "é" * 120), (2, "xé" + "é" * 118 + "y")]
     docs = spark.createDataFrame(data, "doc_id long, text string")
