@@ -260,6 +260,39 @@ def test_urls(spark):
     assert url_filter.judge(none, spark.createDataFrame(rules, "rule string, verdict string")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 16, 40])
+def test_url_differences_are_exact(spark, monkeypatch, frequent):
+    """Thousands of different contexts a side, each with its own counts."""
+    monkeypatch.setattr(url_filter, "FREQUENT", frequent)
+    rng = random.Random(11)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnop0123456789é") for _ in range(n))
+    urls = [f"http://{name(5)}.{rng.choice(['good.org', 'bad.net', 'free.com'])}/{name(12)}" for _ in range(1500)]
+    urls += [urls[0], urls[1], "", None]
+    rules = [("org/", "allow"), ("net/", "block")]
+    got = url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, "rule string, verdict string")).collect()
+    trees = [defaultdict(Counter), defaultdict(Counter)]
+    codes = lambda u: [(tuple(([-1] * url_filter.ORDER + list(u.encode()))[i : i + url_filter.ORDER]), b) for i, b in enumerate(u.encode())]
+    for u in urls:
+        if u and "free" not in u:
+            for context, b in codes(u):
+                for k in range(url_filter.ORDER + 1):
+                    trees["good" in u][context[url_filter.ORDER - k :]][b] += 1
+
+    def log(side, context, b):
+        p = 1 / 256
+        for k in range(url_filter.ORDER + 1):
+            seen = trees[side].get(context[url_filter.ORDER - k :])
+            if seen:
+                p = (seen[b] + len(seen) * p) / (seen.total() + len(seen))
+        return math.log(p)
+
+    assert len(got) == len(urls) and Counter(r.url for r in got) == Counter(urls)
+    for r in got:
+        want = sum(log(1, c, b) - log(0, c, b) for c, b in codes(r.url or "")) / max(len((r.url or "").encode()), 1)
+        assert math.isclose(r.difference, want, rel_tol=1e-9, abs_tol=1e-9), r.url
+        assert r.verdict in {"org": ["allow"], "net": ["block"]}.get((r.url or "").split("/", 3)[2][-3:] if r.url else "", ["allow", "block"])
+
+
 # --- language model
 
 
