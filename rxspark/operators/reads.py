@@ -81,34 +81,34 @@ def search_patients(patients: DataFrame, queries: DataFrame) -> DataFrame:
 ALERT_ITEM = ["alert_type", "severity", "title", "detail"]
 
 
+def _whole(parts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One sorted array per key from the arrays of its parts."""
+    return parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(name))).alias(name))
+
+
 def prescription_documents(
     prescriptions: DataFrame, lines: DataFrame, alerts: DataFrame, size: int = 10_000
 ) -> DataFrame:
-    """Header with its lines, each with its alerts. A prescription above ``size`` lines, or a line
-    above ``size`` alerts, continues in further parts, so no array grows without bound."""
-    alert_lists = collect_in_parts(
-        alerts.withColumnRenamed("line_id", "id"), ["prescription_id", "id"], F.struct(*ALERT_ITEM), "detail",
-        "alerts", size,
-    ).withColumnRenamed("part", "alert_part")
-    empty = F.array().cast("array<struct<alert_type:string,severity:string,title:string,detail:string>>")
-    full = lines.join(alert_lists, ["prescription_id", "id"], "left").withColumns(
-        {"alerts": F.coalesce("alerts", empty), "alert_part": F.coalesce("alert_part", F.lit(0).cast("long"))}
+    """Header with its lines, each with its alerts, and the number of both: one row per prescription, each line once,
+    at every size. Up to about ``size`` items are listed in one place before the lists of a key are put together;
+    a whole document has to fit into a row."""
+    alert_lists = _whole(
+        collect_in_parts(
+            alerts.withColumnRenamed("line_id", "id"), ["prescription_id", "id"], F.struct(*ALERT_ITEM), "detail", "alerts", size,
+        ),
+        ["prescription_id", "id"], "alerts",
     )
-    item = F.struct("id", "drug_id", "dci", "dose_mg", "alert_part", "alerts")
-    nested = collect_in_parts(full, ["prescription_id"], item, "id", "lines", size)
-    return prescriptions.join(nested.withColumnRenamed("prescription_id", "id"), "id", "left")
+    empty = F.array().cast("array<struct<alert_type:string,severity:string,title:string,detail:string>>")
+    full = lines.join(alert_lists, ["prescription_id", "id"], "left").withColumn("alerts", F.coalesce("alerts", empty))
+    item = F.struct("id", "drug_id", "dci", "dose_mg", "alerts")
+    nested = _whole(collect_in_parts(full, ["prescription_id"], item, "id", "lines", size), ["prescription_id"], "lines")
+    counted = history_counts(prescriptions, lines, alerts)
+    return counted.join(nested.withColumnRenamed("prescription_id", "id"), "id", "left")
 
 
 def flatten_response(documents: DataFrame) -> DataFrame:
-    """Alert list, alert count and line count of each document."""
-    alerts = F.flatten(F.transform("lines", lambda l: l["alerts"]))
-    return documents.withColumns(
-        {
-            "alerts": alerts,
-            "alert_count": F.coalesce(F.size(alerts), F.lit(0)),
-            "line_count": F.coalesce(F.size("lines"), F.lit(0)),
-        }
-    )
+    """All alerts of each document in one list, beside the counts it has."""
+    return documents.withColumn("alerts", F.flatten(F.transform("lines", lambda l: l["alerts"])))
 
 
 def history_counts(prescriptions: DataFrame, lines: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -177,9 +177,7 @@ query(
     ALERTS_CTE + """ SELECT p.id, coalesce(a.n, 0) AS alert_count, coalesce(l.n, 0) AS line_count FROM fx_prescriptions p
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM alerts GROUP BY 1) a USING (id)
       LEFT JOIN (SELECT prescription_id AS id, count(*) AS n FROM fx_lines GROUP BY 1) l USING (id)""",
-)(lambda x: reads.flatten_response(_documents(x)).groupBy("id").agg(
-    F.sum("alert_count").alias("alert_count"), F.sum("line_count").alias("line_count")
-))
+)(lambda x: reads.flatten_response(_documents(x)).select("id", "alert_count", "line_count"))
 query(
     "history_counts", _WITH_TH,
     ALERTS_CTE + """ SELECT p.id, coalesce(l.n, 0) AS line_count, coalesce(a.n, 0) AS alert_count FROM fx_prescriptions p

@@ -78,6 +78,24 @@ def test_documents_of_a_large_prescription(spark):
     assert (len(found[3][0]), found[3][1]) == (0, 0)
 
 
+def test_documents_have_one_shape_at_every_size(spark):
+    prescriptions = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "id long, patient_id long")
+    lines = spark.createDataFrame([(i, 1 if i < 300 else 2, i, "x", 1.0) for i in range(303)],
+                                  "id long, prescription_id long, drug_id long, dci string, dose_mg double")
+    alerts = spark.createDataFrame([(1 if i < 250 else 2, 7 if i < 250 else 301, "T", "S", "t", str(i)) for i in range(252)],
+                                   "prescription_id long, line_id long, alert_type string, severity string, title string, detail string")
+    small, large = (
+        {r.id: r for r in reads.flatten_response(reads.prescription_documents(prescriptions, lines, alerts, size=n)).collect()}
+        for n in (50, 10_000)
+    )
+    assert small == large and {i: (r.line_count, r.alert_count) for i, r in small.items()} == {1: (300, 250), 2: (3, 2), 3: (0, 0)}
+    rows = reads.prescription_documents(prescriptions, lines, alerts, size=50).collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert [x.id for x in r.lines or []] == {1: [*range(300)], 2: [300, 301, 302], 3: []}[r.id]
+    assert [len(x.alerts) for x in small[1].lines] == [250 if i == 7 else 0 for i in range(300)]
+
+
 def test_contained_terms(spark):
     rng = random.Random(6)
     letters = "ab/—x "
