@@ -21,9 +21,11 @@ ORACLE_SQL = None  # language codes, suffix arrays and pieces are beyond SQL; te
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no learned language can be recognised."""
+    """Drop documents without a letter: every text with one gets some learned language. If none was learned, letters decide alone."""
     small_batches(spark)  # for this and the later stages
     model = language_id.fit(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, model)
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 

@@ -17,6 +17,12 @@ def test_every_operator_has_its_query():
     assert set(entry.oracle_sql()) <= set(names)
 
 
+def test_documents_stay_if_no_language_was_learned(spark):
+    docs = spark.createDataFrame([(1, "a clean text", None), (2, "12 34 !!", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.languages(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4}
+
+
 def test_stages_like_brute_force(spark, tmp_path):
     sf_dir = str(tmp_path)
     docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
