@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxspark.llm import decontamination, language_id, lattice_model, near_dup, quality_classifier, quality_rules, sentence_pieces, toxicity, url_filter
+from rxspark.llm import (
+    decontamination, language_id, lattice_model, near_dup, periodic_runs, quality_classifier, quality_rules, resampling, sentence_pieces, sharding,
+    toxicity, url_filter,
+)
 from rxspark.llm.common import fold, read, small_batches, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
@@ -120,3 +123,53 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     lattice = lattice_model.fit(counts, sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
     done = lattice_model.score(docs, counts, lattice, keep=["doc_id"])
     return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _made_periodic(doc_id: Column, text: Column) -> Column:
+    """The text; for ids whose checksum ends in 0, with everything from some word on replaced by repetitions of its first words."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    periods = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.slice(F.concat(F.slice(words, F.lit(1), a), periods), F.lit(1), n)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", _made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs, keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div (-longest.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(sharding.measured(docs).drop("text"), ["doc_id", "size", "text_crc32"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "position"
+    )
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    gain = resampling.gains(resampling.count(docs), resampling.count(read(spark, sf_dir, "benchmark")))
+    done = resampling.draw(resampling.weigh(docs, gain, keep=["doc_id"]))
+    return done.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
