@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from rxspark.llm import (
     decontamination, language_id, lattice_model, near_dup, periodic_runs, quality_classifier, quality_rules, resampling, sentence_pieces, sharding,
-    toxicity, url_filter,
+    sql, toxicity, url_filter,
 )
 from rxspark.llm.common import fold, read, small_batches, stored
 from rxspark.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_sharding": sql.SHARDING, "op13_importance_resampling": sql.RESAMPLING}
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]):
