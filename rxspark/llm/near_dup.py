@@ -7,17 +7,19 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
 2. Every class gets SIGNATURE minwise values and a 128-bit sketch, one bit of each of these and of as many more.
 3. TREES independent trees branch the classes. A node picks each signature coordinate with probability
    1 / (similarity * SIGNATURE), by a hash of its path; classes with the same minwise value there go on together. A pair
-   at the threshold meets in one child on average, a pair far below it dies out, and every level is one equi-join-free
-   explode and one aggregation.
-4. In each node every class is compared with the node's smallest class, which costs one comparison a class however
-   large the node is; nodes of at most SMALL classes are compared exhaustively. Links are contracted to components. In
-   a larger node that still holds several, the classes outside its largest component are compared with all others if
-   they are at most OTHERS; else the node branches further. What is still together after DEPTH levels is compared as well.
-5. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
-   which are made from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
-
-So a group of near copies costs its size times the trees, not its square, and nothing is capped. With the default trees, a pair at exactly the threshold that meets
-only small nodes is missed with a chance below 1e-10, and one that has to go down three levels with one of 1e-5.
+   at the threshold meets in one child on average, a pair far below it dies out. A first branch depends on the coordinate
+   alone, so trees that pick the same one share it.
+4. Nodes of at most SMALL classes are compared exhaustively. In a larger one, every class is compared with one of them, the pivot:
+   the class that shares most values with others, which is the common origin in a group of near copies. That is
+   one comparison a class, however large the node.
+5. Links are contracted to components. Larger nodes that still hold several components branch on, up to LEVELS times, and only
+   classes of different components are compared from then on; then links are contracted again, and so on until no such
+   node is left. Nothing is capped: a node stops when it is small or one component.
+6. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
+   which are made once from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
+
+So a group of near copies costs its size times the trees, not its square. A pair at exactly the threshold that meets only small
+nodes is missed with a chance below 1e-10; of those that have to go down three levels, one in 2,000, and five levels, one in 150.
 
 Defined cases: null text, or one without a word, has an empty set and no links. Rows that repeat an id are taken as
 different texts under one id. A null id is a document of its own without links (component null). Output columns replace input columns of the same name.
@@ -26,6 +28,7 @@ different texts under one id. A null id is a document of its own without links (
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,9 @@ from rxspark.llm import common as C
 WORDS = 5
 PERCENT = 75
 SIGNATURE = 64
-TREES = 24
-SMALL = 48  # classes in a node that are compared exhaustively at once
-OTHERS = 400  # classes outside a node's largest component that are compared with all others
-DEPTH = 4  # levels; nodes that stay together so long hold much alike classes, or few
+TREES = 16
+SMALL = 48  # classes in a node that are compared exhaustively
+LEVELS = 5  # branchings between two contractions
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,96 +136,145 @@ def components(edges: DataFrame) -> DataFrame:
     now = C.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        around = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_if(F.col("b") < F.col("a")).alias("lower"))
+        if around.filter("lower > 1 OR (low < a AND high > a)").isEmpty():  # every id is a root, or has one link, to a root
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        least = around.select("a", F.least("low", "a").alias("low"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = C.stored(large.filter("a != b").distinct(), "large-star")
-        lows = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        lows = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lows, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        after = C.stored(small.filter("a != b").distinct(), "small-star")
-        roots = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        twice = after.groupBy("a").count().filter("count > 1")
-        if roots.select("a").unionByName(twice.select("a")).isEmpty():
-            return after.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        now = after
-
-
-def _branch(rows: DataFrame, level: int, percent: int) -> DataFrame:
-    """Rows ``node, id, n, s0, s1, signature`` one level further down.
-
-    A node picks coordinates by a hash of its path, each with probability 100 / (percent * SIGNATURE).
-    """
-    picks = F.filter(
-        F.sequence(F.lit(0), F.lit(SIGNATURE - 1)),
-        lambda i: F.pmod(F.xxhash64("node", i, F.lit(level)), F.lit(percent * SIGNATURE * 1000)) < 100_000,
-    )
-    picked = rows.withColumn("at", F.explode(picks))
-    return picked.withColumn("node", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1))).drop("at")
+        now = C.stored(small.filter("a != b").distinct(), "small-star")
+
 
+def _picked(path: Column, level: int, percent: int) -> Column:
+    """The coordinates that a node picks by a hash of its path, each with probability 100 / (percent * SIGNATURE)."""
+    coordinates = F.sequence(F.lit(0), F.lit(SIGNATURE - 1))
+    return F.filter(coordinates, lambda i: F.pmod(F.xxhash64(path, i, F.lit(level)), F.lit(percent * SIGNATURE * 1000)) < 100_000)
 
-def _alike(a: str, b: str, percent: int):
-    """Whether two classes can be linked, by their sizes and sketches."""
-    sizes = (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent)
-    apart = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+
+def _alike(percent: int) -> Column:
+    """Whether the classes ``x`` and ``y`` can be linked, by their sizes and sketches."""
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     expected = 128 * (100 - percent) / 200
-    return sizes & (apart <= expected + 6 * (128 * (100 - percent) / 200 * (1 - (100 - percent) / 200)) ** 0.5)
+    return sizes & (apart <= expected + 6 * (expected * (1 - (100 - percent) / 200)) ** 0.5)
+
 
+def _pair() -> list[Column]:
+    return [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
 
-def _across(nodes: DataFrame, percent: int, left: Column | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` of likely links in one node but different components; ``left`` limits one side of each pair."""
-    x = (nodes if left is None else nodes.filter(left)).select("node", F.col("m").alias("x"), F.col("c").alias("cx"))
-    y = nodes.select("node", F.col("m").alias("y"), F.col("c").alias("cy"))
-    once = F.col("x.id") < F.col("y.id") if left is None else F.lit(True)
-    pairs = x.join(y, "node").filter(once & (F.col("cx") != F.col("cy")) & _alike("x", "y", percent))
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+def _within(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of likely links in one node but different components. Nodes are small: at most SMALL rows ``node, m``."""
+    x, y = nodes.select("node", F.col("m").alias("x")), nodes.select("node", F.col("m").alias("y"))
+    return x.join(y, "node").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike(percent)).select(*_pair())
 
 
 def _star(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of likely links between the members of a node and its smallest one."""
-    pairs = nodes.filter((F.col("m.id") != F.col("pivot.id")) & _alike("m", "pivot", percent))
-    return pairs.select(F.greatest("m.id", "pivot.id").alias("a"), F.least("m.id", "pivot.id").alias("b"))
+    """Pairs of likely links between the members of a node and its pivot."""
+    pairs = nodes.select(F.col("m").alias("x"), F.col("pivot").alias("y"))
+    return pairs.filter((F.col("x.c") != F.col("y.c")) & _alike(percent)).select(*_pair())
 
 
 class _Links:
-    """Links found so far, contracted to labels ``(id, component)``."""
+    """Links found so far, contracted to labels ``(id, component)``; the full sets read so far, each once."""
 
     def __init__(self, texts: DataFrame, percent: int):
         self.texts, self.percent = texts, percent
         self.labels: DataFrame | None = None
-        self.tried: list[DataFrame] = []
+        self.sets: DataFrame | None = None
 
-    def labelled(self, nodes: DataFrame) -> DataFrame:
-        """``nodes`` with ``c``, the component of ``m``."""
+    def labelled(self, classes: DataFrame) -> DataFrame:
+        """``classes`` with ``c``, the component of ``id``."""
         if self.labels is None:
-            return nodes.withColumn("c", F.col("m.id"))
-        labels = self.labels.withColumnRenamed("id", "key")
-        return nodes.join(labels, F.col("m.id") == F.col("key"), "left").withColumn("c", F.coalesce("component", F.col("m.id"))).drop("key", "component")
+            return classes.withColumn("c", F.col("id"))
+        return classes.join(self.labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
     def add(self, pairs: DataFrame) -> None:
-        """Confirm pairs ``(a, b)`` on full sets, but for those tried before, and contract."""
-        pairs = pairs.distinct()
-        for before in self.tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = C.stored(pairs, "pairs")
+        """Confirm pairs ``(a, b)`` on full sets, and contract."""
+        pairs = C.stored(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("id"), "id", "left_anti")
+        wanted = C.stored(wanted, "wanted")
+        if not wanted.isEmpty():
+            shared = self.texts.sparkSession.sparkContext.broadcast(C.bit_filter(wanted))  # 32 MB at most
+            found = self.texts.select("id", "text").mapInArrow(_sets(shared), "id long, shingles array<long>")
+            found = C.stored(found.join(wanted, "id", "left_semi"), "sets")
+            self.sets = found if self.sets is None else self.sets.unionByName(found)
         if pairs.isEmpty():
             return
-        self.tried.append(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        shared = self.texts.sparkSession.sparkContext.broadcast(C.bit_filter(wanted))  # 32 MB at most
-        sets = C.stored(self.texts.select("id", "text").mapInArrow(_sets(shared), "id long, shingles array<long>"), "sets")
         links = C.stored(
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+            pairs.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
+            .join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
             .filter(_confirmed(self.percent))
             .select("a", "b"),
             "confirmed",
         )
+        if links.isEmpty():
+            return
         if self.labels is not None:
             links = links.unionByName(self.labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         self.labels = components(links)
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold several components, with ``size`` and ``pivot`` of the node."""
+    nodes = rows.groupBy("node").agg(
+        F.count("*").alias("size"), F.min("m.c").alias("low"), F.max("m.c").alias("high"), F.max_by("m", F.struct("m.ties", -F.col("m.id"))).alias("pivot")
+    )
+    rows = rows.drop("size", "pivot")
+    return rows.join(nodes.filter("low != high").drop("low", "high"), "node")
+
+
+def _first_coordinates(spark, trees: int, percent: int) -> list[tuple[int, int]]:
+    """``(tree, coordinate)`` of every first branch."""
+    roots = spark.range(1, trees + 1).select(F.xxhash64(F.lit(17), "id").alias("tree"))
+    picked = roots.select("tree", F.explode(_picked(F.col("tree"), 0, percent)).alias("at"))
+    return [(r["tree"], r["at"]) for r in picked.collect()]  # trees * 1.3 rows
+
+
+def _per_tree(nodes: DataFrame, first: list[tuple[int, int]]) -> DataFrame:
+    """First nodes once for every tree that picks their coordinate."""
+    trees = F.array(*(F.struct(F.lit(tree).alias("tree"), F.lit(at).alias("at")) for tree, at in first))
+    own = F.filter(trees, lambda t: F.xxhash64(t["at"], F.element_at("signature", t["at"] + 1)) == F.col("node"))
+    return nodes.withColumn("own", F.explode(own)).withColumn("node", F.xxhash64("node", "own.tree")).drop("own")
+
+
+def _descend(nodes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still large, and the level reached."""
+    found = []
+    for _ in range(LEVELS):
+        level += 1
+        nodes = nodes.withColumn("at", F.explode(_picked(F.col("node"), level, percent)))
+        nodes = nodes.withColumn("node", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1))).drop("at")
+        nodes = C.stored(_several(nodes), "nodes")
+        found += [_within(nodes.filter(F.col("size") <= SMALL), percent), _star(nodes.filter(F.col("size") > SMALL), percent)]
+        nodes = nodes.filter(F.col("size") > SMALL)
+        if nodes.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found), nodes.select("node", "m.id", "m.ties"), level
+
+
+def _first_nodes(classes: DataFrame, coordinates: list[int], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs from the first branches, and ``node, id`` of the large nodes. Narrow rows find the nodes with several classes."""
+    branch = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.element_at("signature", i + 1).alias("value")) for i in coordinates)))
+    rows = classes.select("id", branch.alias("p")).select("id", F.xxhash64("p.at", "p.value").alias("node"))
+    sizes = C.stored(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node-sizes")
+    rows = C.stored(rows.join(sizes, "node"), "first-nodes")
+    ties = rows.filter(F.col("size") > SMALL).groupBy("id").agg(F.sum("size").alias("ties"))
+    member = F.struct("id", "n", "s0", "s1", F.col("id").alias("c"), F.coalesce("ties", F.lit(0).cast("long")).alias("ties")).alias("m")
+    members = classes.select("id", "n", "s0", "s1").join(ties, "id", "left").select("id", member)
+    few = rows.filter(F.col("size") <= SMALL).join(members, "id").select("node", "m")
+    many = rows.filter(F.col("size") > SMALL).select("node", "id")
+    pivots = _several(many.join(members, "id").select("node", "m"))
+    return _within(few, percent).unionByName(_star(pivots, percent)), many.join(ties, "id")
+
+
 def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """``(id, n_shingles, component)`` for every row with an id: the result of the module."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     every = C.stored(
         texts.mapInArrow(_signatures, "id long, n_shingles long, print binary, s0 long, s1 long, signature array<int>"), "signatures"
@@ -235,36 +286,22 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
         ).select("print", "n", "first.*"),
         "classes",
     )
+    first = _first_coordinates(spark, trees, percent)
     work = _Links(texts, percent)
-    rows = classes.withColumn("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(F.lit(17), t))))
-    member = F.struct("id", "n", "s0", "s1").alias("m")
-    nodes = _branch(rows, 0, percent).select("node", member)
-    shared = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("m").alias("pivot")).filter("size > 1")
-    nodes = C.stored(nodes.join(shared, "node").withColumn("c", F.col("m.id")), "nodes")
-    work.add(_star(nodes, percent).unionByName(_across(nodes.filter(F.col("size") <= SMALL), percent)))
-    nodes = nodes.filter(F.col("size") > SMALL).select("node", "m")
-    for level in range(1, DEPTH + 1):
-        # what the links so far have left apart
-        nodes = work.labelled(nodes)
-        parts = nodes.groupBy("node", "c").agg(F.count("*").alias("n"), F.min("m").alias("pivot"))
-        sizes = (
-            parts.groupBy("node")
-            .agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("c", "n").alias("main"), F.min("pivot").alias("pivot"))
-            .filter("others > 0")
-        )
-        nodes = C.stored(nodes.join(sizes, "node"), "nodes")
-        few = nodes if level == DEPTH else nodes.filter(F.col("others") <= OTHERS)
-        many = nodes.filter(F.col("others") > OTHERS)
-        work.add(_across(few, percent, F.col("c") != F.col("main")).unionByName(_star(many, percent)))
-        if level == DEPTH or many.isEmpty():
-            break
-        # the members again with their signatures, one level down
-        rows = many.select("node", F.col("m.id").alias("id")).join(classes.select("id", "n", "s0", "s1", "signature"), "id")
-        nodes = _branch(rows.select("node", "id", "n", "s0", "s1", "signature"), level, percent).select("node", member)
-    labels = work.labels
+    pairs, large = _first_nodes(classes, sorted({i for _, i in first}), percent)
+    large = C.stored(large, "large-nodes")
+    work.add(pairs)
+    level = 0
+    while not large.isEmpty():
+        whole = work.labelled(large.join(classes.select("id", "n", "s0", "s1", "signature"), "id"))
+        nodes = _several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"), "signature"))
+        if not level:
+            nodes = _per_tree(nodes, first)
+        pairs, large, level = _descend(nodes, level, percent)
+        work.add(pairs)
     joined = classes.select("print", "n", "id")
-    if labels is not None:
-        joined = joined.join(labels, "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
+    if work.labels is not None:
+        joined = joined.join(work.labels, "id", "left").select("print", "n", F.coalesce("component", "id").alias("component"))
     else:
         joined = joined.select("print", "n", F.col("id").alias("component"))
     return (

@@ -127,6 +127,37 @@ def test_large_groups_of_near_copies(spark):
     assert {r.id: r.component for r in got} == want
 
 
+def _families(rng, n, edits, words=80):
+    """Copies of copies: each differs from an earlier one of its family in some words."""
+    family = [[f"w{rng.randrange(10**6)}" for _ in range(words)]]
+    while len(family) < n:
+        own = list(rng.choice(family[-12:]))
+        for _ in range(rng.randint(1, edits)):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        family.append(own)
+    return family
+
+
+def test_branching_over_several_levels(spark, monkeypatch):
+    """Nodes above four classes branch on, two levels between contractions; the result is that of all pairs."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "LEVELS", 2)
+    reached = []
+    descend = near_dup._descend
+    monkeypatch.setattr(near_dup, "_descend", lambda *x: (lambda y: reached.append(y[2]) or y)(descend(*x)))
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(50)]
+    data = [" ".join(x) for _ in range(3) for x in _families(rng, 60, 2)]
+    data += [" ".join(passage + [f"z{rng.randrange(10**6)}" for _ in range(45)]) for _ in range(80)]  # share much, but are not linked
+    texts_ = list(enumerate(data))
+    want = linked({i: shingles(t) for i, t in texts_})
+    got = {r.id: r.component for r in near_dup.linked_classes(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    assert max(reached) >= 3
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    # links lost are few, and none is invented
+    assert all(want[i] == want[got[i]] for i in got)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (200, 150)], "a long, b long")
     got = {r.id: r.component for r in near_dup.components(edges).collect()}
