@@ -41,7 +41,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     model = language_id.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
-    found = language_id.identify(docs.select("doc_id", "text"), model)
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "bits_per_byte")
 
 
