@@ -6,7 +6,9 @@ texts weigh no more than short ones; it is kept if the ratio reaches a fixed thr
 towards the corpus: as if SMOOTHING more n-grams had been drawn from it. Tokens are lower-cased runs of letters and
 digits, and runs of other visible characters.
 
-Counting is one pass with map-side sums per bucket; the weights are one array of BUCKETS numbers, whatever the input.
+Counting is one pass with map-side sums per bucket; the weights are one array of BUCKETS numbers, whatever the input. Texts are
+never shuffled: the trusted ids come to them. TRUSTED of these at most teach (beyond, those with the smallest hashes), so their
+table is bounded; the corpus is counted whole.
 
 Defined cases: null or empty texts have no words and fail the base rules; a text without n-grams has ratio 0. With no
 target document all ratios are 0. Repeated rows are counted and answered each time. Windows of five words are compared
@@ -18,10 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxspark.llm.common import stored
+
 BUCKETS = 1 << 14
 SMOOTHING = float(BUCKETS)
 THRESHOLD = -0.15
 WINDOW = 5
+TRUSTED = 1 << 20  # ids of target documents (16 bytes each)
 _SPACE = r"[\x20\x09-\x0D]+"
 _TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 
@@ -75,10 +80,15 @@ def _with_grams(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING
+    docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING,
+    most: int = TRUSTED,
 ) -> DataFrame:
     """One row, ``weights``: ln(target share / corpus share) of every bucket. ``target`` holds the trusted ids."""
-    trusted = target.select(F.col(target.columns[0]).alias("key")).filter("key IS NOT NULL").distinct().withColumn("trusted", F.lit(1))
+    trusted = stored(target.select(F.col(target.columns[0]).alias("key")).filter("key IS NOT NULL").distinct(), "trusted")
+    n = trusted.count()
+    if n > most:
+        trusted = trusted.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int((1 << 40) * most / n))
+    trusted = F.broadcast(trusted.withColumn("trusted", F.lit(1)))  # TRUSTED rows, by the law of large numbers
     rows = docs.select(F.col(id).alias("key"), F.col(text).alias("text")).join(trusted, "key", "left").select("text", "trusted")
     counts = (
         _with_grams(rows, buckets)

@@ -229,6 +229,66 @@ def test_rate_solves_its_equation():
     assert toxicity.rate_of(scores, np.array([1000.0, 0, 0])) == 1.0
 
 
+def plain_toxicity(docs, labels):
+    """The module's description, row by row: ``evidence, n_significant, score`` of every text."""
+    import re
+
+    tokens = [re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in docs]
+    known = [labels.get(i) if i is not None else None for i, _ in docs]
+    n, sides = Counter(w for x in tokens for w in x), {1: Counter(), 0: Counter()}
+    for x, label in zip(tokens, known, strict=True):
+        if label is not None:
+            sides[label].update(x)
+    pseudo = max(1000.0, toxicity.PRIOR * (sides[0].total() + sides[1].total()))
+    odds = {}
+    for w in n:
+        prior = pseudo * (n[w] + 0.5) / (n.total() + 0.5 * max(len(n), toxicity.VOCABULARY))
+        own = {s: c[w] + prior for s, c in sides.items()}
+        value = math.log(own[1] / (sides[1].total() + pseudo - own[1])) - math.log(own[0] / (sides[0].total() + pseudo - own[0]))
+        odds[w] = value if abs(value) >= toxicity.CERTAIN * math.sqrt(1 / own[1] + 1 / own[0]) else 0.0
+    scores = [[odds[w] - toxicity.DRIFT for w in x] for x in tokens]
+    found = [[v for *_, v in toxicity.segments(np.array(x))] for x in scores]
+    steps = Counter(np.round(v * toxicity.STEPS) / toxicity.STEPS for x, label in zip(scores, known, strict=True) if label == 0 for v in x)
+    rate = toxicity.rate_of(np.array(list(steps)), np.array(list(steps.values()), float))
+    best = [max(x, default=0.0) for x in found]
+    clean = [rate * b - math.log(len(x)) for b, x, label in zip(best, tokens, known, strict=True) if label == 0 and b > 0]
+    log_k = sum(clean) / len(clean) - 0.5772156649015329 if clean else 0.0
+    evidence, many = [], []
+    for x, b, own in zip(tokens, best, found, strict=True):
+        floor = math.log(max(1, len(x))) + log_k
+        over = [rate * v - floor for v in own if rate * v > floor]
+        many.append(len(over))
+        evidence.append(max(toxicity.LOWEST, sum(over) if over else rate * b - floor if b > 0 else toxicity.LOWEST))
+    taught = [(round(min(e, toxicity.HIGHEST) * toxicity.BINS) / toxicity.BINS, label) for e, label in zip(evidence, known, strict=True) if label is not None]
+    bins = sorted({e for e, _ in taught})
+    counts = [[sum(x == e for x, _ in taught), sum(label for x, label in taught if x == e)] for e in bins]
+    a, b = toxicity._logistic(np.array(bins), *np.array(counts, float).T)
+    return [(e, m, 1 / (1 + math.exp(-(a + b * e)))) for e, m in zip(evidence, many, strict=True)]
+
+
+def test_toxicity_like_its_description(spark):
+    docs = [(r[0], r[1]) for r in rows(n=200)]
+    labels = {i: int(i % 10 == 8) for i in range(140)}
+    df = spark.createDataFrame(list(labels.items()), "id long, label int")
+    odds = toxicity.fit(documents(spark, n=200), df)
+    got = toxicity.score(toxicity.passages(documents(spark, n=200), odds), df).select("doc_id", "text", "evidence", "n_significant", "score").collect()
+    want = defaultdict(list)
+    for (i, t), x in zip(docs, plain_toxicity(docs, labels), strict=True):
+        want[i, t].append(x)
+    assert len(got) == len(docs) and any(r.n_significant for r in got)
+    for r in got:
+        assert np.allclose(tuple(r)[2:], want[r.doc_id, r.text][0], rtol=1e-6), r
+
+
+def test_bounded_labels_teach(spark):
+    docs, labels = documents(spark, n=200), spark.createDataFrame([(i, int(i % 10 == 8)) for i in range(200)], "id long, label int")
+    some = toxicity.fit(docs, labels, most=100)
+    assert 0 < len(some[0]) and not np.array_equal(some[1], toxicity.fit(docs, labels)[1])
+    target = labels.filter("id % 10 < 7").select("id")
+    few = quality_rules.fit(docs, target, most=30).first()["weights"]
+    assert few != quality_rules.fit(docs, target).first()["weights"] and any(few)
+
+
 def test_toxicity_separates(spark):
     docs = documents(spark, n=200)
     labels = spark.createDataFrame([(i, int(i % 10 == 8)) for i in range(140)] + [(None, 1), (5, None)], "id long, label int")
