@@ -135,14 +135,32 @@ def sliding_rate(df: DataFrame, ts: str, keys: list[str], minutes: int = 5) -> D
     return copies.groupBy(end, *keys).agg((F.sum("n") / F.lit(float(minutes))).alias("per_minute"))
 
 
+def _quantile(q: float, buckets: list[float]) -> Column:
+    """Linear inside the first bucket that reaches the rank, in milliseconds; the open bucket answers its lower bound."""
+    rank = F.col("total") * q
+    value = F.lit(buckets[-1])
+    for i in reversed(range(len(buckets))):
+        below = F.col(f"le_{i - 1}") if i else F.lit(0)
+        low = buckets[i - 1] if i else 0.0
+        inside = F.nullif(F.col(f"le_{i}") - below, F.lit(0))
+        share = F.coalesce((rank - below) / inside, F.lit(0.0))
+        value = F.when(F.col(f"le_{i}") >= rank, F.lit(low) + share * (buckets[i] - low)).otherwise(value)
+    return value * 1000.0
+
+
+def histogram_quantiles(histograms: DataFrame, quantiles: list[float], buckets: list[float] = LATENCY_BUCKETS) -> DataFrame:
+    """Histograms (``le_0, le_1, ...`` cumulative over the buckets, ``total``) with their quantiles; empty ones are left out."""
+    columns = {f"p{round(q * 100)}_ms": _quantile(q, buckets) for q in quantiles}
+    return histograms.filter(F.col("total") > 0).withColumns(columns).drop(*(f"le_{i}" for i in range(len(buckets))))
+
+
 def latency_quantiles(
     requests: DataFrame, ts: str, latency_ms: str, quantiles: list[float], buckets: list[float] = LATENCY_BUCKETS,
     minutes: int = 5,
 ) -> DataFrame:
-    """Quantiles per window from cumulative bucket counts, linear inside a bucket, in milliseconds.
+    """Quantiles per tumbling window from cumulative bucket counts of single requests.
 
-    Only one count per (window, bucket) is kept, whatever the number of requests. A quantile in the
-    open bucket is the highest finite bound.
+    Only one count per (window, bucket) is kept, whatever the number of requests.
     """
     seconds = F.col(latency_ms) / 1000.0
     start = F.window(F.col(ts), f"{minutes} minutes").start.alias("window_start")
@@ -150,23 +168,54 @@ def latency_quantiles(
         *[F.count_if(seconds <= b).alias(f"le_{i}") for i, b in enumerate(buckets)],
         F.count(latency_ms).alias("total"),
     )
+    return histogram_quantiles(counts, quantiles, buckets)
+
 
-    def quantile(q: float) -> Column:
-        rank = F.col("total") * q
-        value = F.lit(buckets[-1])
-        for i in reversed(range(len(buckets))):
-            below = F.col(f"le_{i - 1}") if i else F.lit(0)
-            low = buckets[i - 1] if i else 0.0
-            inside = F.nullif(F.col(f"le_{i}") - below, F.lit(0))
-            share = F.coalesce((rank - below) / inside, F.lit(0.0))
-            value = F.when(F.col(f"le_{i}") >= rank, F.lit(low) + share * (buckets[i] - low)).otherwise(value)
-        return value * 1000.0
-
-    return counts.filter(F.col("total") > 0).select(
-        "window_start", "total", *[quantile(q).alias(f"p{round(q * 100)}_ms") for q in quantiles]
+def minute_histograms(
+    samples: DataFrame, keys: list[str], series: list[str], ts: str = "ts", le: str = "le", value: str = "value",
+    buckets: list[float] = LATENCY_BUCKETS,
+) -> DataFrame:
+    """One mergeable histogram per minute and ``keys``, from samples of cumulative bucket counters.
+
+    A counter is known by ``keys``, ``series`` (such as the instance) and ``le``, its upper bound as text (``+Inf`` counts all). Its
+    growth between two samples falls into the minute of the later one; a drop is a restart from zero, and the first sample only a
+    start. Samples of a counter look back inside an hour, hours pass on one row each, so no task holds a whole counter.
+    """
+    names = [*keys, *series, le]
+    stepped = previous_value(samples.select(*names, ts, value), names, ts, value)
+    step = F.when(F.col(value) < F.col("previous"), F.col(value)).otherwise(F.col(value) - F.col("previous"))
+    bound = F.col(le).try_cast("double")
+    grown = stepped.filter("previous IS NOT NULL").select(
+        F.date_trunc("minute", ts).alias("minute"), *keys, bound.alias("bound"), (F.col(le) == "+Inf").alias("all"), step.alias("step")
+    )
+    of = lambda condition: F.sum(F.when(condition, F.col("step")).otherwise(0.0))
+    return grown.groupBy("minute", *keys).agg(
+        *(of(F.col("bound") == b).alias(f"le_{i}") for i, b in enumerate(buckets)), of(F.col("all")).alias("total")
     )
 
 
+def sliding_histograms(histograms: DataFrame, keys: list[str], minutes: int = 5) -> DataFrame:
+    """Histograms of the last ``minutes`` minutes at every full minute (``window_end``) after which something was counted."""
+    sums = [c for c in histograms.columns if c == "total" or c.startswith("le_")]
+    shifts = F.sequence(F.lit(1), F.lit(minutes))
+    copies = histograms.withColumn("shift", F.explode(shifts))
+    end = (F.col("minute") + F.make_dt_interval(mins=F.col("shift"))).alias("window_end")
+    return copies.groupBy(end, *keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def sliding_latency_quantiles(
+    samples: DataFrame, quantiles: list[float], handlers: str = "/api/.*", series: list[str] | None = None, minutes: int = 5,
+    buckets: list[float] = LATENCY_BUCKETS,
+) -> DataFrame:
+    """Quantiles in milliseconds per ``handler`` over sliding ranges, one step a minute, from counters ``ts, handler, le, value``.
+
+    ``handlers`` is a pattern for the whole name. All that is kept for a handler and minute is one number a bucket.
+    """
+    chosen = samples.filter(F.col("handler").rlike(f"^(?:{handlers})$"))
+    histograms = minute_histograms(chosen, ["handler"], series or [], buckets=buckets)
+    return histogram_quantiles(sliding_histograms(histograms, ["handler"], minutes), quantiles, buckets)
+
+
 def status_class(requests: DataFrame) -> DataFrame:
     """Error requests with their class, 4xx or 5xx."""
     band = F.when(F.col("status").between(400, 499), "4xx").when(F.col("status").between(500, 599), "5xx")

@@ -514,6 +514,27 @@ query(
 )(lambda x: kpi.latency_quantiles(
     x.view("fx_requests"), "ts", "latency_ms", [0.5, 0.95, 0.99], [0.002, 0.005, 0.01, 0.02], 30
 ))
+def _bucket_quantile_sql(q: float) -> str:
+    bounds = [0.1, 0.5, 1.0]
+    cases = "".join(
+        f" WHEN le_{i} >= total * {q} THEN {low} + coalesce((total * {q} - {below}) / nullif(le_{i} - {below}, 0), 0) * ({high} - {low})"
+        for i, (low, high, below) in enumerate(zip([0.0, *bounds], bounds, ["0", "le_0", "le_1"]))
+    )
+    return f"(CASE{cases} ELSE {bounds[-1]} END) * 1000.0 AS p{round(q * 100)}_ms"
+
+
+query(
+    "handler_latency_quantiles", ["fx_latency_counters"],
+    """, stepped AS (SELECT *, lag(value) OVER (PARTITION BY handler, instance, le ORDER BY ts, value) AS prev FROM fx_latency_counters
+      WHERE regexp_full_match(handler, '/api/.*')),
+    grown AS (SELECT date_trunc('minute', ts) AS minute, handler, le, CASE WHEN value < prev THEN value ELSE value - prev END AS step
+      FROM stepped WHERE prev IS NOT NULL),
+    ranges AS (SELECT minute + to_minutes(cast(s AS bigint)) AS window_end, handler, coalesce(sum(step) FILTER (le = '0.1'), 0) AS le_0,
+        coalesce(sum(step) FILTER (le = '0.5'), 0) AS le_1, coalesce(sum(step) FILTER (le = '1.0'), 0) AS le_2,
+        coalesce(sum(step) FILTER (le = '+Inf'), 0) AS total
+      FROM grown, range(1, 6) r(s) GROUP BY ALL)
+    SELECT window_end, handler, total, """ + ", ".join(_bucket_quantile_sql(q) for q in (0.5, 0.95, 0.99)) + " FROM ranges WHERE total > 0",
+)(lambda x: kpi.sliding_latency_quantiles(x.view("fx_latency_counters"), [0.5, 0.95, 0.99], series=["instance"]))
 query(
     "counter_rates", ["fx_counters"],
     """, stepped AS (SELECT *, lag(value) OVER (PARTITION BY name, series ORDER BY ts, value) AS prev FROM fx_counters)

@@ -167,6 +167,19 @@ VIEWS: dict[str, str] = {
           CASE WHEN event_type = 'error' THEN 500 + cast(event_id % 4 AS int)
                WHEN event_id % 9 = 0 THEN 404 ELSE 200 END AS status
         FROM {events}""",
+    # cumulative counters per handler, instance and upper bound, read once a minute; they restart every day
+    "fx_latency_counters": """
+        SELECT minute AS ts, handler, instance, le, sum(n) OVER (
+            PARTITION BY handler, instance, le, cast(minute AS date) ORDER BY minute) AS value
+        FROM (
+          SELECT date_trunc('minute', ts) AS minute, cast(user_id % 2 AS string) AS instance,
+            CASE event_type WHEN 'click' THEN '/api/prescriptions/' WHEN 'view' THEN '/api/audit/bulk'
+              WHEN 'purchase' THEN '/api/patients' WHEN 'signup' THEN '/metrics' ELSE '/api/auth/login' END AS handler,
+            b.le, cast(sum(CASE WHEN b.le = '+Inf' OR value / 200.0 <= b.bound THEN 1 ELSE 0 END) AS double) AS n
+          FROM {events}
+          JOIN (SELECT '0.1' AS le, 0.1 AS bound UNION ALL SELECT '0.5', 0.5 UNION ALL SELECT '1.0', 1.0
+            UNION ALL SELECT '+Inf', 1e9) b ON true
+          GROUP BY 1, 2, 3, 4) counted""",
     # a counter that grows with the event number and restarts every 500 events
     "fx_counters": """
         SELECT ts, 'container-' || cast(event_id % 4 AS string) AS name, cast(event_id % 8 AS string) AS series,

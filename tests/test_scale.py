@@ -1,5 +1,6 @@
 """Building blocks for large keys, checked against brute force with one dominant key."""
 
+import datetime
 import random
 from collections import defaultdict
 
@@ -116,6 +117,41 @@ def test_latency_quantiles(spark):
     assert abs(r.p50_ms - 300.0) < 1e-6 and r.p99_ms == 1000.0
 
 
+def test_sliding_quantiles_like_a_plain_evaluation(spark):
+    """Counters with restarts, two instances and a handler outside the pattern, read every 20 seconds, against a scan by hand."""
+    rng = random.Random(12)
+    start, bounds = datetime.datetime(2024, 1, 1), ["0.1", "0.5", "1.0", "+Inf"]
+    samples, growth = [], defaultdict(lambda: [0.0] * 4)
+    for handler, instance in (("/api/a", "x"), ("/api/a", "y"), ("/api/b", "x"), ("/metrics", "x")):
+        now, last = [0.0] * 4, None
+        for i in range(270):
+            now = [0.0] * 4 if rng.random() < 0.02 else now
+            seen = [rng.choice([0.05, 0.3, 0.8, 3.0]) for _ in range(rng.randint(0, 3))]
+            now = [n + sum(v <= float(b) for v in seen) for n, b in zip(now, bounds)]
+            samples += [(start + datetime.timedelta(seconds=20 * i), handler, instance, b, v) for b, v in zip(bounds, now)]
+            for k in range(4 if last else 0):
+                growth[handler, i // 3][k] += now[k] if now[k] < last[k] else now[k] - last[k]
+            last = now
+    df = spark.createDataFrame(samples, "ts timestamp, handler string, instance string, le string, value double").repartition(3)
+    got = {(r.handler, r.window_end): r for r in kpi.sliding_latency_quantiles(df, [0.5, 0.95], series=["instance"]).collect()}
+    want = {}
+    for handler in ("/api/a", "/api/b"):
+        for end in range(1, 96):
+            sums = [sum(growth[handler, m][k] for m in range(end - 5, end) if (handler, m) in growth) for k in range(4)]
+            if sums[3]:
+                values = []
+                for q in (0.5, 0.95):
+                    rank = q * sums[3]
+                    k = next(k for k in range(4) if sums[k] >= rank)
+                    low, high = ([0.0, 0.1, 0.5, 1.0][k], [0.1, 0.5, 1.0, 1.0][k])
+                    below = sums[k - 1] if k else 0.0
+                    values.append(1000 * (1.0 if k == 3 else low + (high - low) * (rank - below) / (sums[k] - below)))
+                want[handler, start + datetime.timedelta(minutes=end)] = (sums[3], *values)
+    assert got.keys() == want.keys()
+    for key, (total, p50, p95) in want.items():
+        assert got[key].total == total and abs(got[key].p50_ms - p50) < 1e-6 and abs(got[key].p95_ms - p95) < 1e-6
+
+
 def test_hot_owner_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([(i, 1 if i % 3 else i, i) for i in range(100)], "id long, patient_id long, created_at long")
     plan = reads.latest_per_owner(df, "patient_id")._jdf.queryExecution().executedPlan().toString()
