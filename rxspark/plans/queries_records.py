@@ -8,7 +8,7 @@ from rxspark.functions import prompts
 from rxspark.operators import audit, explain, intake, kpi, reads, screening
 from rxspark.plans.queries_catalogue import TH_CTE, closed_thesaurus
 from rxspark.plans.queries_screening import (
-    ALERTS_CTE, CONTEXT, VIEWS, all_alerts, drug_context, full_context, line_rule,
+    ALERTS_CTE, CONTEXT, RENAL_ROWS, VIEWS, all_alerts, drug_context, full_context, line_facts, line_rule,
 )
 from rxspark.plans.registry import Inputs, query
 from rxspark.sources.catalogue_files import export_columns, write_audit_csv, CSV_OPTIONS
@@ -262,13 +262,13 @@ query(
     SELECT alert_id, th.dci_a, th.dci_b, th.level_fr, th.mechanism, th.recommendation
       FROM ids a JOIN first_row f ON f.prescription_id = a.prescription_id AND f.title = a.title JOIN th ON th.id = f.id""",
 )(lambda x: explain.interaction_context(
-    numbered(stored(x, screening.interaction_alerts(drug_context(x), closed_thesaurus(x)))), drug_context(x),
+    numbered(stored(x, screening.interaction_alerts(line_facts(x), closed_thesaurus(x)))), drug_context(x),
     closed_thesaurus(x),
 ))
 query(
     "alert_renal_context", VIEWS,
-    CONTEXT + """, shown AS (SELECT DISTINCT c.line_id, c.prescription_id, c.name FROM ctx c JOIN line_keys k USING (line_id)
-      JOIN (VALUES ('blue', 45), ('gear', 60), ('old', 30), ('widget', 50)) r(w, t) ON contains(k.key, r.w) AND crcl < t)
+    CONTEXT + f""", shown AS (SELECT DISTINCT c.line_id, c.prescription_id, c.name FROM ctx c JOIN line_keys k USING (line_id)
+      JOIN ({RENAL_ROWS}) r(ord, w, t, severity, message) ON contains(k.key, r.w) AND crcl < t)
     SELECT s.line_id, arg_min(d.dci, d.id) AS found_dci FROM shown s JOIN fx_lines l USING (prescription_id) JOIN fx_drugs d
       ON d.id = l.drug_id WHERE contains(s.name, d.brand_name) GROUP BY s.line_id""",
 )(lambda x: explain.renal_context(

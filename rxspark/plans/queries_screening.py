@@ -1,8 +1,4 @@
-"""Screening queries, rule by rule and together.
-
-The rule tables here are short ones over the words of the test tables; the clinical ones are in
-``rxspark.rules`` and are exercised by the tests.
-"""
+"""Screening queries, rule by rule and together, with the shipped rule tables."""
 
 from __future__ import annotations
 
@@ -12,19 +8,12 @@ from rxspark.functions import text
 from rxspark.operators import screening
 from rxspark.plans.queries_catalogue import TH_CTE, closed_thesaurus
 from rxspark.plans.registry import Inputs, query
+from rxspark.rules import ALLERGY_FAMILIES, RENAL_RULES
 from rxspark.sources.clinical_views import AS_OF
 
-FAMILIES = {"metal": ["bolt", "gear"]}
-RENAL = [
-    ("blue", 45, "MAJOR", "contre-indication"),
-    ("gear", 60, "MAJOR", "accumulation"),
-    ("old", 30, "MAJOR", "accumulation"),
-    ("widget", 50, "MODERATE", "adapter la dose"),
-]
-
 
 def profiles(x: Inputs):
-    return screening.drug_profiles(x.view("fx_drugs"), x.view("fx_components"), FAMILIES, RENAL)
+    return screening.drug_profiles(x.view("fx_drugs"), x.view("fx_components"))
 
 
 def patients(x: Inputs):
@@ -43,18 +32,29 @@ def full_context(x: Inputs):
 
 
 def line_rule(*rules: str):
-    return lambda x: screening.line_alerts(full_context(x), list(rules), FAMILIES, RENAL)
+    return lambda x: screening.line_alerts(full_context(x), list(rules))
 
 
 def all_alerts(x: Inputs):
     return screening.screen(
-        x.view("fx_prescriptions"), x.view("fx_lines"), patients(x), profiles(x), closed_thesaurus(x), AS_OF,
-        FAMILIES, RENAL,
+        x.view("fx_prescriptions"), x.view("fx_lines"), patients(x), profiles(x), closed_thesaurus(x), AS_OF
     )
 
 
+def line_facts(x: Inputs):
+    """Lines with their drug, as the rules across lines read them."""
+    return screening.co_located(screening.line_facts(drug_context(x)))
+
+
 # --- SQL ------------------------------------------------------------------------------------------
 
+def _values(rows: list[tuple]) -> str:
+    text_of = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(text_of, row)) + ")" for row in rows)
+
+
+_FAMILY_ROWS = _values([(a, i, k) for a, keywords in ALLERGY_FAMILIES.items() for i, k in enumerate(keywords)])
+RENAL_ROWS = _values([(i, *rule) for i, rule in enumerate(RENAL_RULES)])
 VIEWS = ["fx_drugs", "fx_components", "fx_patients", "fx_prescriptions", "fx_lines"]
 CONTEXT = f""", comp AS (SELECT drug_id, lower(trim(dci)) AS key, position FROM fx_components),
   line_keys AS (SELECT l.id AS line_id, l.prescription_id, c.key, c.position FROM fx_lines l JOIN comp c USING (drug_id)
@@ -73,12 +73,12 @@ ALLERGENS = """, known AS (SELECT id AS patient_id, ix, trim(list[ix]) AS spelle
       FROM (SELECT id, string_split(known_allergies_csv, ',') AS list FROM fx_patients))),
   allergens AS (SELECT DISTINCT patient_id, unnest([lower(spelled), CASE WHEN lower(spelled) LIKE '%s'
       THEN left(lower(spelled), length(spelled) - 1) ELSE lower(spelled) || 's' END]) AS allergen FROM known)"""
-_ALLERGY = CONTEXT + ALLERGENS + """,
+_ALLERGY = CONTEXT + ALLERGENS + f""",
   exact AS (SELECT line_id, string_agg(DISTINCT allergen, ', ' ORDER BY allergen) AS hit FROM ctx JOIN allergens USING (patient_id)
     JOIN line_keys k USING (line_id) WHERE k.key = allergen GROUP BY line_id),
   named AS (SELECT line_id, min(allergen) AS allergen FROM ctx JOIN allergens USING (patient_id)
     WHERE regexp_matches(search_text, '\\b' || allergen || '\\b') GROUP BY line_id),
-  families AS (SELECT * FROM (VALUES ('metal', 1, 'bolt'), ('metal', 2, 'gear')) f(allergen, ord, keyword)),
+  families AS (SELECT * FROM ({_FAMILY_ROWS}) f(allergen, ord, keyword)),
   crossed AS (SELECT line_id, allergen, molecule FROM (SELECT line_id, f.allergen, k.key AS molecule,
       row_number() OVER (PARTITION BY line_id ORDER BY f.allergen, f.ord, k.position) AS rn
       FROM ctx JOIN allergens USING (patient_id) JOIN families f USING (allergen) JOIN line_keys k USING (line_id)
@@ -129,15 +129,13 @@ _PSYCHOACTIVE = _rule(
     "'Ce médicament contient une ou plusieurs substances psychoactives. Vérifier l''absence de co-prescription"
     " sédative et informer le patient.'", "is_psychoactive",
 )
-_RENAL = """SELECT prescription_id, line_id, 'renal' AS rule, 'RENAL' AS alert_type, severity,
+_RENAL = f"""SELECT prescription_id, line_id, 'renal' AS rule, 'RENAL' AS alert_type, severity,
     'Insuffisance rénale — ' || name AS title, 'Ce médicament est ' || message || ' lorsque la clairance rénale est < '
     || threshold || ' mL/min. Clairance du patient : ' || cast(round(crcl, 1) AS decimal(10, 1)) || ' mL/min (IRC '
     || CASE WHEN crcl < 30 THEN 'sévère (stade 4-5)' WHEN crcl < 45 THEN 'modérée (stade 3)' WHEN crcl < 60
       THEN 'légère (stade 2)' ELSE 'débutante' END || '). Adapter la posologie ou substituer.' AS detail
   FROM (SELECT ctx.*, r.*, row_number() OVER (PARTITION BY ctx.line_id ORDER BY k.position, r.ord) AS rn
-    FROM ctx JOIN line_keys k USING (line_id) JOIN (VALUES (1, 'blue', 45, 'MAJOR', 'contre-indication'),
-      (2, 'gear', 60, 'MAJOR', 'accumulation'), (3, 'old', 30, 'MAJOR', 'accumulation'),
-      (4, 'widget', 50, 'MODERATE', 'adapter la dose')) r(ord, keyword, threshold, severity, message)
+    FROM ctx JOIN line_keys k USING (line_id) JOIN ({RENAL_ROWS}) r(ord, keyword, threshold, severity, message)
       ON contains(k.key, r.keyword) AND ctx.crcl < r.threshold) WHERE rn = 1"""
 _DUPLICATE_CTE = """, labelled AS (SELECT prescription_id, line_id, main_key, name || CASE WHEN dose_mg <> 0
       THEN ' (' || cast(dose_mg AS varchar) || ' ' || dose_unit_raw || ')' ELSE '' END AS label FROM ctx),
@@ -168,11 +166,11 @@ query("screen_breastfeeding", VIEWS, CONTEXT + " " + _BREASTFEEDING)(line_rule("
 query("screen_psychoactive", VIEWS, CONTEXT + " " + _PSYCHOACTIVE)(line_rule("psychoactive"))
 query("screen_renal", VIEWS, CONTEXT + " " + _RENAL)(line_rule("renal"))
 query("screen_duplicates", VIEWS, CONTEXT + _DUPLICATE_CTE + " " + _DUPLICATE)(
-    lambda x: screening.duplicate_alerts(drug_context(x))
+    lambda x: screening.duplicate_alerts(line_facts(x))
 )
 _WITH_TH = [*VIEWS, "fx_interactions_raw"]
 query("screen_interactions", _WITH_TH, CONTEXT + _INTERACTION_CTE + " " + _INTERACTION)(
-    lambda x: screening.interaction_alerts(drug_context(x), closed_thesaurus(x))
+    lambda x: screening.interaction_alerts(line_facts(x), closed_thesaurus(x))
 )
 query(
     "line_context", VIEWS,

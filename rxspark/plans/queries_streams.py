@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rxspark.operators import scoring
 from rxspark.plans.queries_catalogue import closed_thesaurus
 from rxspark.plans.queries_records import order_events
-from rxspark.plans.queries_screening import ALERTS_CTE, FAMILIES, RENAL, VIEWS, patients, profiles
+from rxspark.plans.queries_screening import ALERTS_CTE, VIEWS, patients, profiles
 from rxspark.plans.registry import Inputs, query
 from rxspark.session import work_path
 from rxspark.sources.clinical_views import AS_OF
@@ -28,7 +28,7 @@ def _stream_screening(x: Inputs):
     events = x.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/orders")
     jobs.screen_events(
         events, patients(x), x.spark.read.parquet(f"{root}/profiles"), x.spark.read.parquet(f"{root}/thesaurus"),
-        AS_OF, f"{root}/alerts", f"{root}/checkpoint", families=FAMILIES, renal=RENAL,
+        AS_OF, f"{root}/alerts", f"{root}/checkpoint",
     ).awaitTermination()
     return x.spark.read.parquet(f"{root}/alerts").select(
         "prescription_id", "rule", "alert_type", "severity", "title", "detail"

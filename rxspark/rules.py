@@ -87,6 +87,50 @@ RENAL_RULES: list[tuple[str, int, str, str]] = [
     ("valaciclovir", 30, "MODERATE", "adapter la posologie"),
 ]
 
+# --- fixed values: rule -> (title, detail); {0}, {1}, ... are values that the rule gives ---
+ALERT_TEXTS: dict[str, tuple[str, str]] = {
+    "allergy_exact": (
+        "Allergie connue — {dci}",
+        "Le patient a une allergie documentée à : {0}. Médicament prescrit : {name}.",
+    ),
+    "allergy_text": (
+        "Allergie potentielle — {name}",
+        "Le médicament {name} peut contenir ou être associé à '{0}' (excipient ou contre-indication). "
+        "Allergie documentée : {0}. Vérifier la composition complète avant de dispenser.",
+    ),
+    "allergy_family": (
+        "Allergie croisée — {name}",
+        "Le patient est allergique aux {0}. Le médicament prescrit ({name}) appartient à cette famille ou présente un "
+        "risque de réaction croisée (DCI : {1}). Vérifier avant administration.",
+    ),
+    "age": (
+        "Âge insuffisant — {name}",
+        "Ce médicament est autorisé à partir de {0}. Âge du patient : {1} an(s).",
+    ),
+    "pregnancy": (
+        "Contre-indication grossesse — {name}",
+        "La fiche du médicament mentionne une contre-indication liée à la grossesse.{0}",
+    ),
+    "breastfeeding": (
+        "Contre-indication allaitement — {name}",
+        "La fiche du médicament mentionne une contre-indication liée à l'allaitement.",
+    ),
+    "psychoactive": (
+        "Substance psychoactive — {name}",
+        "Ce médicament contient une ou plusieurs substances psychoactives. Vérifier l'absence de co-prescription "
+        "sédative et informer le patient.",
+    ),
+    "renal": (
+        "Insuffisance rénale — {name}",
+        "Ce médicament est {0} lorsque la clairance rénale est < {1} mL/min. Clairance du patient : {2} mL/min (IRC {3}). "
+        "Adapter la posologie ou substituer.",
+    ),
+    "duplicate": (
+        "Redondance de DCI — {0}",
+        "La molécule '{0}' est présente dans plusieurs lignes de la prescription : {1}. Risque de surdosage cumulatif.",
+    ),
+}
+
 # --- fixed values: substrings that mention pregnancy and breastfeeding ---
 PREGNANCY_TERMS = [
     "grossesse", "enceinte", "pregnant", "pregnancy", "tératogène", "teratogen", "foetus", "fœtus",

@@ -20,6 +20,18 @@ _LINE_ID = (
     " || '-' || replace(cast(cast(l_shipdate AS date) AS string), '-', '')"
 )
 
+# one drug in four holds one of these, which the shipped allergy families and renal rules speak of
+MOLECULES = [
+    "Aciclovir", "Amikacine", "Amiodarone", "Amoxicilline", "Apixaban", "Azithromycine", "Ceftriaxone", "Ciprofloxacine", "Clarithromycine",
+    "Cloxacilline", "Colchicine", "Céfixime", "Dabigatran", "Diclofénac", "Gentamicine", "Glibenclamide", "Glyburide", "Ibuprofène",
+    "Kétorolac", "Lactulose", "Lithium", "Metformine", "Naproxène", "Povidone iodée", "Rivaroxaban", "Sitagliptine", "Spironolactone",
+    "Sulfaméthoxazole", "Triamtérène", "Valaciclovir", "Vancomycine",
+]
+_MOLECULE = (
+    f"CASE WHEN p_partkey % 4 = 1 THEN split_part('{'|'.join(MOLECULES)}', '|', cast(floor(p_partkey / 4) % {len(MOLECULES)} AS int) + 1)"
+    " ELSE split_part(p_name, ' ', 1) END"
+)
+
 # words of the thesaurus pages: (condition, text, x0, top offset, font, size, seq)
 _LEVEL_FIRST = (
     "CASE p_size % 7 WHEN 0 THEN 'Association' WHEN 1 THEN 'Contre-indication' WHEN 2 THEN 'Précaution'"
@@ -66,10 +78,10 @@ VIEWS: dict[str, str] = {
                WHEN 3 THEN 'Allaitement' END AS contraindications,
           'traitement ' || lower(p_type) AS indications
         FROM {part}""",
-    "fx_components": """
-        SELECT p_partkey AS drug_id, split_part(p_name, ' ', 1) AS dci, 1 AS position
-        FROM {part} WHERE p_partkey % 50 <> 7
-        UNION ALL SELECT p_partkey, split_part(p_name, ' ', 2), 2 FROM {part} WHERE p_partkey % 50 <> 7""",
+    "fx_components": f"""
+        SELECT p_partkey AS drug_id, {_MOLECULE} AS dci, 1 AS position
+        FROM {{part}} WHERE p_partkey % 50 <> 7
+        UNION ALL SELECT p_partkey, split_part(p_name, ' ', 2), 2 FROM {{part}} WHERE p_partkey % 50 <> 7""",
     "fx_patients": """
         SELECT c_custkey AS id,
           '00000000-0000-4000-8000-' || lpad(cast(c_custkey AS string), 12, '0') AS fhir_patient_id,
@@ -79,8 +91,9 @@ VIEWS: dict[str, str] = {
           c_custkey % 11 = 0 AS is_pregnant,
           CASE WHEN c_custkey % 11 = 0 THEN cast(c_custkey % 42 AS smallint) END AS gestational_weeks,
           c_custkey % 13 = 0 AS is_breastfeeding,
-          CASE c_custkey % 6 WHEN 0 THEN 'Red' WHEN 1 THEN 'anvil, Gears' WHEN 2 THEN 'metal'
-               WHEN 3 THEN 'economy' END AS known_allergies_csv
+          CASE c_custkey % 12 WHEN 0 THEN 'Red' WHEN 1 THEN 'anvil, Gears' WHEN 2 THEN 'Pénicilline' WHEN 3 THEN 'economy'
+               WHEN 4 THEN 'Sulfamides, Iode' WHEN 5 THEN 'aspirine' WHEN 6 THEN 'quinolones' WHEN 7 THEN 'macrolide'
+               WHEN 8 THEN 'AMOXICILLINE' WHEN 9 THEN 'céphalosporine, latex' END AS known_allergies_csv
         FROM {customer}""",
     "fx_prescriptions": """
         SELECT o_orderkey AS id, o_custkey AS patient_id, o_orderkey % 100 AS doctor_id,
