@@ -222,7 +222,57 @@ def test_audit_log_is_complete(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         jobs.audit_sink(stream, "ts", "id", str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
 
-    for name, rows in (("one", [(1, 9), (2, 9), (2, 9)]), ("two", []), ("three", [(1, 9), (3, 0)]), ("four", [(3, 0), (4, 20)])):
+    for name, rows in (("one", [(1, 9), (2, 11), (2, 9)]), ("two", []), ("three", [(1, 15), (3, 0)]), ("four", [(3, 2), (4, 20), (2, 0)])):
         add(name, rows)
         run()
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2, 3, 4]
+    log = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert sorted((r.id, (r.ts - start).days, str(r.day)) for r in log) == [
+        (1, 9, "2024-05-10"), (2, 9, "2024-05-10"), (3, 0, "2024-05-01"), (4, 20, "2024-05-21"),
+    ]
+    # the look-up reads the folders of its hashes, of earlier batches only
+    from pyspark.sql import types as T
+
+    seen = jobs.stored_keys(spark, str(tmp_path / "log-keys"), "id", T.LongType(), [3, 5], 2)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "batch_id" in filters and "bucket" in filters
+    assert {r.bucket for r in seen.collect()} <= {3, 5}
+
+
+def test_reference_rows_of_a_batch(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id long, v string")
+    ids = spark.createDataFrame([(3,), (3,), (None,), (7,), (99,)], "patient_id long")
+    for most in (1000, 1):
+        monkeypatch.setattr(jobs, "LOOKUP", most)
+        assert sorted(r.id for r in jobs.only(table, "id", ids).collect()) == [3, 7]
+        assert jobs.only(table, "id", ids.filter("patient_id = 99")).count() == 0
+
+
+def test_rejected_orders(spark, tmp_path):
+    """Orders with unknown references leave with their reasons and raise no alerts; the others are screened."""
+    drugs = spark.createDataFrame(
+        [(1, "A", "x", None, True, "", ""), (2, "B", "y", None, False, "", "")],
+        "id long, brand_name string, dci string, min_age string, is_psychoactive boolean, contraindications string, indications string",
+    )
+    components = spark.createDataFrame([(1, "x", 1), (2, "y", 1), (8, "z", 1)], "drug_id long, dci string, position int")
+    patients = spark.createDataFrame(
+        [(1, None, None, False, None, False, [])],
+        "id long, birthdate date, creatinine_clearance double, is_pregnant boolean, gestational_weeks int, is_breastfeeding boolean, known_allergies array<string>",
+    )
+    thesaurus = spark.createDataFrame([], "id long, dci_a string, dci_b string, level_fr string, severity string, mechanism string, recommendation string")
+    line = "struct<drug_id:bigint,dci:string,dose_mg:double,dose_unit_raw:string>"
+    at = dt.datetime(2024, 1, 1)
+    order = lambda i, patient, *drug: (i, patient, 5, at, None, [(d, "m", 1.0, "mg") for d in drug])
+    schema = f"id long, patient_id long, doctor_id long, created_at timestamp, hook_event string, lines array<{line}>"
+    for name, rows in (("one", [order(1, 1, 1), order(2, 9, 1), order(3, 1, 8, 7, 7)]), ("two", [order(4, 9, 7), order(5, 1, 2), order(6, None, 1)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        jobs.screen_events(
+            stream, patients, screening.drug_profiles(drugs, components), thesaurus, "2024-01-01", str(tmp_path / "alerts"), str(tmp_path / "rejected"),
+            str(tmp_path / "cp"), trigger={"availableNow": True},
+        ).awaitTermination()
+    refused = {r.id: (r.reasons, r.missing_drugs) for r in spark.read.parquet(str(tmp_path / "rejected")).collect()}
+    assert refused == {
+        2: (["patient_unknown"], []), 3: (["drugs_unknown"], [7, 8]), 4: (["patient_unknown", "drugs_unknown"], [7]), 6: (["patient_unknown"], []),
+    }
+    assert [(r.prescription_id, r.rule) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [(1, "psychoactive")]
