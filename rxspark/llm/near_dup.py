@@ -12,14 +12,18 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
 4. Nodes of at most SMALL classes are compared exhaustively. In a larger one, every class is compared with one of them, the pivot:
    the class that shares most values with others, which is the common origin in a group of near copies. That is
    one comparison a class, however large the node.
-5. Links are contracted to components. Larger nodes that still hold several components branch on, up to LEVELS times, and only
-   classes of different components are compared from then on; then links are contracted again, and so on until no such
-   node is left. Nothing is capped: a node stops when it is small or one component.
+5. Links are contracted to components. Larger nodes that still hold several components branch on, and only
+   classes of different components are compared from then on. After WIDE levels a node follows one path only, by two
+   coordinates at once, so the work no longer grows. A node ends when it is one component, or when it is small, or when at most FEW classes stand
+   outside its largest component: these are compared with all. After LEVELS branchings links are contracted again, and
+   so on until no node is left. Nothing is capped.
 6. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
    which are made once from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
 
 So a group of near copies costs its size times the trees, not its square. A pair at exactly the threshold that meets only small
-nodes is missed with a chance below 1e-10; of those that have to go down three levels, one in 2,000, and five levels, one in 150.
+nodes is missed with a chance below 1e-10; of those that have to go down two levels more, one in 2,000. Below that, single pairs at
+the threshold inside a dense group can be missed (each further level halves their chances), but a class is lost to its group only if that
+holds for all its links, the pivots' included.
 
 Defined cases: null text, or one without a word, has an empty set and no links. Rows that repeat an id are taken as
 different texts under one id. A null id is a document of its own without links (component null). Output columns replace input columns of the same name.
@@ -42,7 +46,9 @@ PERCENT = 75
 SIGNATURE = 64
 TREES = 16
 SMALL = 48  # classes in a node that are compared exhaustively
-LEVELS = 5  # branchings between two contractions
+FEW = 6  # classes outside a node's largest component that are compared with all others
+WIDE = 2  # levels in which a node picks each coordinate by chance
+LEVELS = 8  # branchings between two contractions
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +171,13 @@ def _pair() -> list[Column]:
     return [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
 
 
-def _within(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of likely links in one node but different components. Nodes are small: at most SMALL rows ``node, m``."""
-    x, y = nodes.select("node", F.col("m").alias("x")), nodes.select("node", F.col("m").alias("y"))
-    return x.join(y, "node").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _alike(percent)).select(*_pair())
+def _within(nodes: DataFrame, percent: int, left: Column | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of likely links in one node but different components, from rows ``node, m``. Nodes are small, or few of
+    their rows are ``left``: one side of each pair."""
+    x = (nodes if left is None else nodes.filter(left)).select("node", F.col("m").alias("x"))
+    y = nodes.select("node", F.col("m").alias("y"))
+    once = F.col("x.id") < F.col("y.id") if left is None else F.lit(True)
+    return x.join(y, "node").filter(once & (F.col("x.c") != F.col("y.c")) & _alike(percent)).select(*_pair())
 
 
 def _star(nodes: DataFrame, percent: int) -> DataFrame:
@@ -220,12 +229,15 @@ class _Links:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold several components, with ``size`` and ``pivot`` of the node."""
-    nodes = rows.groupBy("node").agg(
-        F.count("*").alias("size"), F.min("m.c").alias("low"), F.max("m.c").alias("high"), F.max_by("m", F.struct("m.ties", -F.col("m.id"))).alias("pivot")
+    """Rows of nodes that hold several components, with what is known of the node: ``size``, ``others`` (rows outside its
+    largest component, ``main``) and ``pivot``."""
+    order = F.struct("m.ties", -F.col("m.id"))
+    parts = rows.groupBy("node", "m.c").agg(F.count("*").alias("n"), F.max_by("m", order).alias("pivot"))
+    nodes = parts.groupBy("node").agg(
+        F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"),
+        F.max_by("pivot", F.struct("pivot.ties", -F.col("pivot.id"))).alias("pivot"),
     )
-    rows = rows.drop("size", "pivot")
-    return rows.join(nodes.filter("low != high").drop("low", "high"), "node")
+    return rows.drop("size", "others", "main", "pivot").join(nodes.filter("others > 0"), "node")
 
 
 def _first_coordinates(spark, trees: int, percent: int) -> list[tuple[int, int]]:
@@ -242,16 +254,28 @@ def _per_tree(nodes: DataFrame, first: list[tuple[int, int]]) -> DataFrame:
     return nodes.withColumn("own", F.explode(own)).withColumn("node", F.xxhash64("node", "own.tree")).drop("own")
 
 
+def _branch(nodes: DataFrame, level: int, percent: int) -> DataFrame:
+    """Nodes one level down."""
+    value = lambda at: F.element_at("signature", at + 1)
+    if level <= WIDE:
+        nodes = nodes.withColumn("at", F.explode(_picked(F.col("node"), level, percent)))
+        return nodes.withColumn("node", F.xxhash64("node", "at", value(F.col("at")))).drop("at")
+    first, second = (F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(SIGNATURE)).cast("int") for i in (1, 2))
+    return nodes.withColumn("node", F.xxhash64("node", value(first), value(second)))
+
+
 def _descend(nodes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still large, and the level reached."""
+    """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still open, and the level reached."""
     found = []
     for _ in range(LEVELS):
         level += 1
-        nodes = nodes.withColumn("at", F.explode(_picked(F.col("node"), level, percent)))
-        nodes = nodes.withColumn("node", F.xxhash64("node", "at", F.element_at("signature", F.col("at") + 1))).drop("at")
-        nodes = C.stored(_several(nodes), "nodes")
-        found += [_within(nodes.filter(F.col("size") <= SMALL), percent), _star(nodes.filter(F.col("size") > SMALL), percent)]
-        nodes = nodes.filter(F.col("size") > SMALL)
+        nodes = C.stored(_several(_branch(nodes, level, percent)), "nodes")
+        small, few = F.col("size") <= SMALL, F.col("others") <= FEW
+        found += [
+            _within(nodes.filter(small), percent), _star(nodes.filter(~small & ~few), percent),
+            _within(nodes.filter(~small & few), percent, F.col("m.c") != F.col("main")),
+        ]
+        nodes = nodes.filter(~small & ~few)
         if nodes.isEmpty():
             break
     return reduce(DataFrame.unionByName, found), nodes.select("node", "m.id", "m.ties"), level
