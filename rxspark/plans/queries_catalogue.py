@@ -427,7 +427,7 @@ query(
 
 # --- stored pages -----------------------------------------------------------------------------------
 
-_PAGE_MARKS = {"title": r"(?s)<h1>(.*?)</h1>", "header": r"(?s)<li>(.*?)</li>", "content": r"(?s)<p>(.*?)</p>", "group": 1}
+_PAGE_MARKS = {"title": "h1", "header": "li", "content": "p"}
 
 
 def _visible_sql(c: str) -> str:
@@ -437,29 +437,63 @@ def _visible_sql(c: str) -> str:
     return strip_sql(f"regexp_replace({s}, '[\\s\\x{{00a0}}]+', ' ', 'g')")
 
 
-_PAGES_SQL = f"""WITH found AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS titles,
-      regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS headers, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS contents
-      FROM pages),
-    zipped AS (SELECT page_id, i, {_visible_sql("headers[i]")} AS key, {_visible_sql("contents[i]")} AS value
+_CLEAN_PAGES = """WITH clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+      '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS html FROM pages)"""
+_RECORDS_SQL = f"""zipped AS (SELECT page_id, i, {_visible_sql("headers[i]")} AS key, {_visible_sql("contents[i]")} AS value
       FROM (SELECT *, unnest(range(1, 1 + least(len(headers), len(contents)))) AS i FROM found WHERE len(titles) > 0)
       UNION ALL SELECT page_id, 0, 'drug_name', {_visible_sql("titles[1]")} FROM found WHERE len(titles) > 0),
     records AS (SELECT page_id, key, last(value ORDER BY i) AS value FROM zipped WHERE key <> '' GROUP BY 1, 2)"""
-_PAGE_HEADERS = ["drug_name", "the", "of", "and", "de", "la", "der", "und"]
+# a paragraph ends where it is closed or the next one begins
+_PAGES_SQL = _CLEAN_PAGES + f""", found AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS titles,
+      regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS headers,
+      list_transform(string_split(html, '<p>')[2:], lambda t: split_part(t, '</p>', 1)) AS contents FROM clean),
+    {_RECORDS_SQL}"""
+_MARKED_SQL = _CLEAN_PAGES + f""", found AS (SELECT page_id,
+      list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda t: t || ' <b>fiche</b>') AS titles,
+      list_transform(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), lambda t: replace(t, '</a>', ' , x')) AS headers,
+      list_transform(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1), lambda t: t || ' , x') AS contents FROM clean),
+    {_RECORDS_SQL}"""
 
 
 def page_records(x: Inputs):
     return web_pages.extract_records(x.table("pages"), **_PAGE_MARKS)
 
 
+def marked_pages(x: Inputs):
+    """The stored pages in the markup of the catalogue: nested elements of one name, both quotes and none, several classes."""
+    html = F.col("html")
+    for old, new in (
+        ("<h1>", '<section class="page main-title"><section>'), ("</h1>", "</section><section> <b>fiche</b></section></section>"),
+        ("<li>", "<div class=detail-header>"), ("</li>", "</div>"),
+        ('<a href="', "<div id=a class='a detail-content' title=\""), ("</a>", "<div>, <br><i>x</i></div></div>"),
+    ):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    return x.table("pages").withColumn("html", html)
+
+
 query("page_records", None, _PAGES_SQL + " SELECT * FROM records")(
-    lambda x: page_records(x).select("page_id", F.explode("record").alias("key", "value"))
+    lambda x: page_records(x).select("page_id", F.explode_outer("record").alias("key", "value"))
 )
-query(
+query("page_records_by_class", None, _MARKED_SQL + " SELECT * FROM records")(
+    lambda x: web_pages.extract_records(marked_pages(x)).select("page_id", F.explode_outer("record").alias("key", "value"))
+)
+
+
+@query(
     "page_record_table", None,
-    _PAGES_SQL + " SELECT page_id, " + ", ".join(
-        f"max(value) FILTER (key = '{h}') AS \"{h}\"" for h in _PAGE_HEADERS
-    ) + " FROM records GROUP BY 1",
-)(lambda x: web_pages.widen_records(page_records(x), ["page_id"], _PAGE_HEADERS))
+    _PAGES_SQL + """ SELECT p.page_id, h.key AS header, r.value FROM (SELECT DISTINCT page_id FROM records) p
+      JOIN (SELECT DISTINCT key FROM records) h ON true LEFT JOIN records r ON r.page_id = p.page_id AND r.key = h.key""",
+)
+def _record_table(x: Inputs):
+    """The wide table of all headers, shown as one row per page and header."""
+    records = page_records(x).cache()
+    headers = sorted(r["header"] for r in web_pages.record_headers(records).collect())  # the columns of the table
+    wide = web_pages.widen_records(records, ["page_id"], headers)
+    wide = wide.toDF("page_id", *(f"c{i}" for i in range(len(headers))))  # headers may differ in case only
+    cells = F.array(*(F.struct(F.lit(h).alias("header"), F.col(f"c{i}").alias("value")) for i, h in enumerate(headers)))
+    return wide.select("page_id", F.inline(cells))
+
+
 query("page_record_headers", None, _PAGES_SQL + " SELECT key AS header, count(*) AS records FROM records GROUP BY 1")(
     lambda x: web_pages.record_headers(page_records(x))
 )
