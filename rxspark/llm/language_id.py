@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rxspark.llm import common as C
 
 ORDER = 4
-ENTRIES = 1 << 21  # weights sent to the tasks (20 bytes each)
+ENTRIES = 1 << 20  # weights sent to the tasks (20 bytes each)
 COSTS = 1 << 22  # numbers that a task holds at once: codes times languages
 UNKNOWN = "und"
 _HELD = 1 << 20
@@ -180,22 +180,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", entries: int =
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # one row a language
     if not langs:
         return Model([])
-    weights = _weights(counts, langs)
-    keys = C.stored(weights.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("entries")), "language-keys")
-    scale = F.floor(F.log2("n")).cast("int")
-    steps = keys.groupBy(scale.alias("scale")).agg(F.sum("entries").alias("entries")).orderBy(F.desc("scale")).collect()  # 63 rows at most
+    listed = F.collect_list(F.struct("lang", "weight"))  # an entry a language
+    keys = _weights(counts, langs).groupBy("key").agg(F.sum("n").alias("n"), listed.alias("entries"))
+    keys = C.stored(keys.withColumn("scale", F.floor(F.log2("n")).cast("int")).drop("n"), "language-keys")
+    steps = keys.groupBy("scale").agg(F.sum(F.size("entries")).alias("entries")).orderBy(F.desc("scale")).collect()  # 63 rows at most
     least, held = 64, 0
     for r in steps:
         held += r["entries"]
         if held > entries:
             break
         least = r["scale"]
-    frequent = keys.filter(scale >= least).select("key")
-    table = weights.join(frequent, "key", "left_semi").select("key", "lang", "weight").toPandas().sort_values(["key", "lang"])  # ENTRIES rows at most
-    unique, first = np.unique(table["key"].to_numpy(np.int64), return_index=True)
-    rare = None if held <= entries else C.bit_filter(keys.filter(scale < least).select("key"))
+    frequent = keys.filter(F.col("scale") >= least).orderBy("key").select("key", "entries.lang", "entries.weight").toArrow()  # ENTRIES weights at most
+    column = lambda c: frequent.column(c).combine_chunks()
+    rare = None if held <= entries else C.bit_filter(keys.filter(F.col("scale") < least).select("key"))
     return Model(
-        langs, unique, np.r_[first, len(table)], table["lang"].to_numpy(np.int64), table["weight"].to_numpy(np.float64), rare, weights.select("key", "lang", "weight")
+        langs, column("key").to_numpy(), column("lang").offsets.to_numpy().astype(np.int64), column("lang").flatten().to_numpy().astype(np.int64),
+        column("weight").flatten().to_numpy(), rare, keys.select("key", F.inline("entries")),
     )
 
 
