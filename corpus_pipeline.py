@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the
 next stage's documents. All but the last return the columns of ``documents``.
 
-Defined cases: null texts, and texts without a letter, leave in the first stage. Of a group of near duplicates the
+Defined cases: null texts, and texts without a letter, leave in the first stage; a null language is filled in there. Of a group of near duplicates the
 smallest id stays; rows that repeat an id stay or go together. Rows without an id take no part in the comparisons between
 documents and stay. A text of which nothing is left after the third stage stays as an empty text.
 """
@@ -21,13 +21,15 @@ ORACLE_SQL = None  # language codes, suffix arrays and pieces are beyond SQL; te
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter: every text with one gets some learned language. If none was learned, letters decide alone."""
+    """Drop documents without a letter, and give those without a language the one that the model finds: every text with a
+    letter gets some learned language. If none was learned, letters decide alone."""
     small_batches(spark)  # for this and the later stages
     model = language_id.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, model)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = found.filter(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
