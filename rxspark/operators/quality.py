@@ -82,17 +82,19 @@ def top_molecules(rows: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def load_reconciliation(raw: DataFrame, deduped: DataFrame, closed: DataFrame) -> DataFrame:
-    """Rows read, removed by the deduplication, and added by the symmetric closure."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias(name))
-
-    steps = (
-        counted(raw, "read")
-        .unionByName(counted(deduped, "kept"), allowMissingColumns=True)
-        .unionByName(counted(closed, "closed"), allowMissingColumns=True)
+def load_reconciliation(raw: DataFrame) -> DataFrame:
+    """Thesaurus rows read, removed as repeats of a pair, and added by the symmetric closure.
+
+    One pass: an unordered pair knows how many rows it has and which of its two orders occur.
+    """
+    forward = F.col("dci_a") <= F.col("dci_b")
+    pairs = raw.groupBy(F.least("dci_a", "dci_b").alias("lo"), F.greatest("dci_a", "dci_b").alias("hi")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(forward.cast("int")).alias("ab"), F.max((~forward).cast("int")).alias("ba")
+    )
+    one = pairs.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("read"), F.coalesce(F.sum(F.col("ab") + F.col("ba")), F.lit(0)).alias("kept"),
+        F.coalesce(F.sum(F.when(F.col("lo") == F.col("hi"), 1).otherwise(2)), F.lit(0)).alias("closed"),
     )
-    one = steps.agg(*[F.max(c).alias(c) for c in ("read", "kept", "closed")])
     return one.select(
         "read", (F.col("read") - F.col("kept")).alias("removed"), "kept",
         (F.col("closed") - F.col("kept")).alias("added"), "closed",

@@ -19,15 +19,19 @@ class Knowledge:
     thesaurus: DataFrame
 
 
-def publish_catalogue(raw: DataFrame, out: str) -> None:
-    """Clean the raw catalogue and write drugs, molecules and drug profiles.
+def publish_catalogue(raw: DataFrame, out: str, previous: str | None = None) -> None:
+    """Clean the raw catalogue and write drugs, the map of their ids, molecules and drug profiles.
+
+    Drugs keep the ids that they had in the catalogue published at ``previous``.
 
     Each table is written once and read back, so nothing is computed twice, and later joins see the
     true size of the files when Spark decides about a broadcast.
     """
     spark = raw.sparkSession
     clean = catalogue.clean_catalogue(catalogue_files.rename_headers(catalogue_files.require_records(raw)))
-    catalogue_files.write_parquet(catalogue.stable_drugs(clean), f"{out}/drugs")
+    drugs, ids = catalogue.keep_ids(clean, spark.read.parquet(f"{previous}/drug_ids") if previous else None)
+    catalogue_files.write_parquet(drugs, f"{out}/drugs")
+    catalogue_files.write_parquet(ids, f"{out}/drug_ids")
     drugs = spark.read.parquet(f"{out}/drugs")
     catalogue_files.write_parquet(catalogue.split_molecules(drugs), f"{out}/components")
     components = spark.read.parquet(f"{out}/components")

@@ -145,10 +145,10 @@ query(
     "catalogue_clean", ["fx_raw"], CLEAN_CTE + " SELECT * FROM clean",
 )(cleaned)
 query(
-    "catalogue_headers", ["fx_raw"], "SELECT brand_name_raw, composition_raw, age_raw, link_raw FROM fx_raw",
+    "catalogue_headers", ["fx_raw"], f"SELECT {', '.join(CATALOGUE_HEADERS.values())} FROM fx_raw",
 )(lambda x: catalogue_files.rename_headers(
     x.view("fx_raw").withColumnsRenamed({c: h for h, c in CATALOGUE_HEADERS.items()})
-).select("brand_name_raw", "composition_raw", "age_raw", "link_raw"))
+).select(*CATALOGUE_HEADERS.values()))
 query(
     "catalogue_ids", ["fx_raw"],
     CLEAN_CTE + " SELECT cast(row_number() OVER (ORDER BY "
@@ -156,12 +156,28 @@ query(
                 + [c for c in catalogue.DRUG_COLUMNS if c not in ("id", "brand_name", "atc_code", "dosage_raw")])
     + ") AS bigint) AS id, * FROM clean",
 )(lambda x: catalogue.number_drugs(cleaned(x)))
-query(
+@query(
     "catalogue_stable_ids", ["fx_raw"],
-    CLEAN_CTE + " SELECT count(*) AS drugs, count(DISTINCT brand_name) AS brands FROM clean",
-)(lambda x: catalogue.stable_drugs(cleaned(x)).agg(
-    F.count_distinct("id").alias("drugs"), F.count_distinct("brand_name").alias("brands")
-))
+    CLEAN_CTE + """, again AS (SELECT brand_name, count(*) AS n FROM clean WHERE brand_name NOT LIKE '%7' GROUP BY 1)
+    SELECT brand_name, count(*) AS drugs, count(*) AS ids, coalesce(any_value(a.n), 0) + 1 AS later, coalesce(any_value(a.n), 0) AS kept
+    FROM clean LEFT JOIN again a USING (brand_name) GROUP BY 1""",
+)
+def _stable_ids(x: Inputs):
+    """Drugs and ids per brand in a first load, and in a second one with other prices, without some brands and with one drug more each."""
+    clean = cleaned(x)
+    first, known = catalogue.keep_ids(clean)
+    stays = ~F.col("brand_name").like("%7")
+    changed = clean.filter(stays).withColumn("price_ppv", F.col("price_ppv") + 1)
+    more = clean.dropDuplicates(["brand_name"]).withColumn("presentation", F.lit("new"))
+    second, _ = catalogue.keep_ids(changed.unionByName(more), known)
+    sides = first.select("brand_name", "id", F.lit(1).alias("load")).unionByName(second.select("brand_name", "id", F.lit(2).alias("load")))
+    per_id = sides.groupBy("brand_name", "id").agg(F.count_if(F.col("load") == 1).alias("a"), F.count_if(F.col("load") == 2).alias("b"))
+    return per_id.groupBy("brand_name").agg(
+        F.sum("a").alias("drugs"), F.count_if(F.col("a") > 0).alias("ids"), F.sum("b").alias("later"),
+        F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("kept"),
+    )
+
+
 query(
     "molecule_split", ["fx_raw"],
     f""", parts AS (
@@ -203,16 +219,16 @@ query(
 
 @query(
     "catalogue_csv_round_trip", ["fx_raw"],
-    "SELECT brand_name_raw, composition_raw, contra_raw FROM fx_raw",
+    "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in CATALOGUE_HEADERS.values()) + " FROM fx_raw",
 )
 def _csv_round_trip(x: Inputs):
     """Raw catalogue written and read back as CSV with its French headers."""
     path = work_path(x.spark, "raw-csv")
     raw = x.view("fx_raw").drop("src").withColumnsRenamed({c: h for h, c in CATALOGUE_HEADERS.items()})
-    # a quoted empty text and a missing value must stay apart
+    # an empty field is a missing value
     raw.write.options(**catalogue_files.CSV_OPTIONS, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     return catalogue_files.rename_headers(catalogue_files.read_raw_catalogue(x.spark, path)).select(
-        "brand_name_raw", "composition_raw", "contra_raw"
+        *CATALOGUE_HEADERS.values()
     )
 
 
@@ -225,7 +241,9 @@ def _parquet_round_trip(x: Inputs):
 
 @query(
     "clean_csv_load", ["fx_drugs"],
-    "SELECT id, brand_name, price_ppv, is_psychoactive, contraindications FROM fx_drugs WHERE id % 97 <> 0",
+    "SELECT id, brand_name, presentation, dosage_raw, dci, labo_name, therapeutic_class, NULL AS status, atc_code, price_ppv, NULL AS price_hospital,"
+    " NULL AS toxicity_class, NULL AS product_type, indications, is_psychoactive, contraindications, min_age, NULL AS source_url"
+    " FROM fx_drugs WHERE id % 97 <> 0",
 )
 def _csv_load(x: Inputs):
     """Clean CSV with footer rows, written, read back and typed."""
@@ -241,10 +259,47 @@ def _csv_load(x: Inputs):
     )
     catalogue_files.write_csv(rows, path)
     back = catalogue_files.coerce_drugs(catalogue_files.read_clean_catalogue(x.spark, path))
-    return back.select(
-        "id", "brand_name", F.round(F.col("price_ppv").cast("double"), 2).alias("price_ppv"), "is_psychoactive",
-        "contraindications",
+    return back.withColumn("price_ppv", F.round(F.col("price_ppv").cast("double"), 2)).select(*catalogue.DRUG_COLUMNS)
+
+
+def _catalogue_file(x: Inputs) -> tuple[str, object]:
+    """A clean CSV with footers, records with too many fields, short records and repeated ids; and the drugs loaded before."""
+    path = work_path(x.spark, "clean-lines")
+    drugs = x.view("fx_drugs")
+    values = [F.col(c).cast("string") if c in drugs.columns else F.lit(None).cast("string") for c in catalogue.DRUG_COLUMNS]
+    line = F.to_csv(F.struct(*(v.alias(c) for v, c in zip(values, catalogue.DRUG_COLUMNS))), {"escape": '"'})
+    number = F.col("id")
+    written = (
+        F.when(number % 97 == 0, F.array(F.concat(F.lit('"Source : x, '), number.cast("string"), F.lit('"'))))
+        .when(number % 89 == 0, F.array(F.concat(line, F.lit(',more,"a, b"'))))
+        .when(number % 83 == 0, F.array(F.concat_ws(",", number.cast("string"), F.lit('"short, one"'))))
+        .when(number % 31 == 0, F.array(line, F.concat(number.cast("string"), F.lit(",late"), F.lit("," * 16))))
+        .otherwise(F.array(line))
+    )
+    drugs.select(F.explode(written).alias("value")).write.text(path)
+    before = drugs.filter("id % 3 = 0").select(
+        "id", F.concat(F.lit("old "), "brand_name").alias("brand_name"), F.col("price_ppv").cast("double").alias("price_ppv"), "is_psychoactive", "contraindications"
     )
+    return path, before
+
+
+_LOADED = """, fate AS (SELECT id, CASE WHEN id % 97 = 0 THEN 'no_id' WHEN id % 89 = 0 THEN 'malformed' WHEN id % 3 = 0 THEN 'present' ELSE 'inserted' END AS fate,
+    id % 97 <> 0 AND id % 89 <> 0 AND id % 83 = 0 AS short, id % 97 <> 0 AND id % 89 <> 0 AND id % 83 <> 0 AND id % 31 = 0 AS twice FROM fx_drugs)"""
+
+
+@query(
+    "catalogue_load", ["fx_drugs"],
+    _LOADED + """ SELECT d.id, CASE WHEN d.id % 3 = 0 THEN 'old ' || brand_name WHEN short THEN 'short, one' ELSE brand_name END AS brand_name,
+      CASE WHEN d.id % 3 = 0 OR NOT short THEN price_ppv END AS price_ppv, CASE WHEN d.id % 3 = 0 OR NOT short THEN is_psychoactive ELSE false END AS is_psychoactive,
+      CASE WHEN d.id % 3 = 0 OR NOT short THEN contraindications END AS contraindications
+    FROM fx_drugs d JOIN fate USING (id) WHERE d.id % 3 = 0 OR fate = 'inserted'""",
+)
+def _catalogue_load(x: Inputs):
+    """The drugs after a load of that file."""
+    path, before = _catalogue_file(x)
+    out = work_path(x.spark, "loaded-drugs")
+    merges.load_catalogue(path, before, out, header=False)
+    return x.spark.read.parquet(out).withColumn("price_ppv", F.round("price_ppv", 2))
 
 
 query(
@@ -357,13 +412,26 @@ query(
     "thesaurus_top_molecules", ["fx_interactions_raw"],
     TH_CTE + " SELECT dci_a, count(*) AS n FROM th GROUP BY ALL ORDER BY n DESC, dci_a LIMIT 5",
 )(lambda x: quality.top_molecules(closed_thesaurus(x)))
-query(
-    "load_reconciliation", ["fx_interactions_raw"],
-    BEST_CTE + """ SELECT r AS read, r - k AS removed, k AS kept, c - k AS added, c AS closed FROM (SELECT
-      (SELECT count(*) FROM fixed) AS r, (SELECT count(*) FROM best) AS k, (SELECT count(*) FROM closed) AS c)""",
-)(lambda x: quality.load_reconciliation(
-    x.view("fx_interactions_raw"), thesaurus.best_per_pair(x.view("fx_interactions_raw")), closed_thesaurus(x)
-))
+@query(
+    "load_reconciliation", ["fx_interactions_raw", "fx_drugs"],
+    BEST_CTE + _LOADED + """, counts AS (SELECT count(*) + count(*) FILTER (twice) - count(*) FILTER (fate = 'malformed') AS read,
+        count(*) FILTER (fate = 'malformed') AS malformed, count(*) FILTER (fate = 'no_id') AS no_id, count(*) FILTER (twice) AS duplicate,
+        count(*) FILTER (fate = 'present') AS present, count(*) FILTER (fate = 'inserted') AS inserted,
+        count(*) FILTER (fate = 'inserted' OR id % 3 = 0) AS total FROM fate),
+      steps AS (SELECT r AS read, r - k AS removed, k AS kept, c - k AS added, c AS closed FROM (SELECT
+        (SELECT count(*) FROM fixed) AS r, (SELECT count(*) FROM best) AS k, (SELECT count(*) FROM closed) AS c))
+    SELECT 'catalogue' AS load, step, n FROM (UNPIVOT counts ON read, malformed, no_id, duplicate, present, inserted, total INTO NAME step VALUE n)
+    UNION ALL SELECT 'thesaurus', step, n FROM (UNPIVOT steps ON read, removed, kept, added, closed INTO NAME step VALUE n)""",
+)
+def _load_reconciliation(x: Inputs):
+    """Counts of both loads, each over one reading of its tables."""
+    path, before = _catalogue_file(x)
+    counts = merges.load_catalogue(path, before, work_path(x.spark, "loaded-drugs"), header=False)
+    loaded = x.spark.createDataFrame(list(counts.items()), "step string, n long")
+    steps = quality.load_reconciliation(thesaurus.fix_fragments(x.view("fx_interactions_raw")))
+    each = F.array(*(F.struct(F.lit(c).alias("step"), F.col(c).alias("n")) for c in steps.columns))
+    return loaded.select(F.lit("catalogue").alias("load"), "*").unionByName(steps.select(F.lit("thesaurus").alias("load"), F.inline(each)))
+
 
 # --- thesaurus pages -------------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rxspark.functions.text import parse_flag, strip
 from rxspark.operators.catalogue import DRUG_COLUMNS
@@ -51,18 +51,29 @@ CLEAN_SCHEMA = T.StructType(
 )
 
 
-def read_clean_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Clean CSV as text; rows with a wrong number of fields are skipped."""
+def flagged_catalogue(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Clean CSV as text, every record, with ``_malformed``: more fields than columns. Records with fewer lack the last ones."""
     rows = (
-        spark.read.options(**CSV_OPTIONS, multiLine="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+        spark.read.options(**{**CSV_OPTIONS, "header": str(header).lower()}, multiLine="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
         .schema(CLEAN_SCHEMA)
         .csv(path)
     )
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+    fields = F.regexp_count(F.regexp_replace("_bad", r'"(?:[^"]|"")*"', ""), F.lit(",")) + 1
+    return rows.withColumn("_malformed", F.coalesce(fields > len(DRUG_COLUMNS), F.lit(False))).drop("_bad")
+
+
+def read_clean_catalogue(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Clean CSV as text without malformed records."""
+    return flagged_catalogue(spark, path, header).filter("NOT _malformed").drop("_malformed")
+
+
+def has_id() -> Column:
+    """Whether the id is a whole number; file footers have none."""
+    return F.coalesce(F.col("id").rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False))
 
 
 def coerce_drugs(rows: DataFrame) -> DataFrame:
-    """Typed drugs. Rows whose id is no whole number (file footers) drop out."""
+    """Typed drugs. Rows without an id drop out."""
     number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("float"))
     typed = {
         "id": strip(F.col("id")).try_cast("bigint"),
@@ -70,13 +81,17 @@ def coerce_drugs(rows: DataFrame) -> DataFrame:
         "price_hospital": number("price_hospital"),
         "is_psychoactive": parse_flag(F.col("is_psychoactive").cast("string")),
     }
-    return rows.filter(F.col("id").rlike(r"^\s*[+-]?\d+\s*$")).withColumns(
+    return rows.filter(has_id()).withColumns(
         {c: e for c, e in typed.items() if c in rows.columns}
     )
 
 
-def write_audit_csv(audit: DataFrame, path: str) -> None:
-    export_columns(audit).write.mode("overwrite").options(**CSV_OPTIONS, emptyValue="").csv(path)
+def write_audit_csv(audit: DataFrame, path: str, mark: bool = False) -> None:
+    """The export as CSV; with ``mark``, every file begins with a byte order mark, by which spreadsheets know UTF-8."""
+    rows = export_columns(audit)
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    rows.write.mode("overwrite").options(**CSV_OPTIONS, emptyValue="").csv(path)
 
 
 def export_columns(audit: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
+
+from rxspark.sources import catalogue_files
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -62,3 +64,32 @@ def upsert_report(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
         F.count_if((F.col("o") == 1) & (F.col("n") == 1)).alias("updated"),
         F.count_if((F.col("o") == 1) & (F.col("n") == 0)).alias("unchanged"),
     )
+
+
+def load_catalogue(path: str, existing: DataFrame, out: str, header: bool = True) -> dict[str, int]:
+    """Load the clean CSV into the drugs ``existing``, write the new version to ``out`` and count what became of every record.
+
+    ``read`` and ``malformed`` records of the file; those with ``no_id``; ``duplicate`` ids in the file, of which the first
+    record stays; ids ``present`` before, which stay as they are; and ``inserted`` ones. The counts are observed while the table is written:
+    the file and the table are read once.
+    """
+    spark = existing.sparkSession
+    records, ids, rows = Observation(), Observation(), Observation()
+    flagged = catalogue_files.flagged_catalogue(spark, path, header).withColumn("_order", F.monotonically_increasing_id())
+    flagged = flagged.observe(
+        records, F.count(F.lit(1)).alias("records"), F.count_if(F.col("_malformed")).alias("malformed"),
+        F.count_if(~F.col("_malformed") & ~catalogue_files.has_id()).alias("no_id"),
+    )
+    typed = catalogue_files.coerce_drugs(flagged.filter("NOT _malformed").drop("_malformed"))
+    rest = [c for c in existing.columns if c != "id"]
+    new = typed.groupBy("id").agg(F.min_by(F.struct(*rest), "_order").alias("_new"), F.count(F.lit(1)).alias("_copies"))
+    new = new.observe(ids, F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate")).drop("_copies")
+    old = existing.select("id", F.struct(*rest).alias("_old"))
+    merged = old.join(new, "id", "full_outer").observe(
+        rows, F.count_if(F.col("_old").isNotNull() & F.col("_new").isNotNull()).alias("present"),
+        F.count_if(F.col("_old").isNull()).alias("inserted"), F.count(F.lit(1)).alias("total"),
+    )
+    kept = [F.when(F.col("_old").isNotNull(), F.col("_old")[c]).otherwise(F.col("_new")[c].cast(existing.schema[c].dataType)).alias(c) for c in rest]
+    catalogue_files.write_parquet(merged.select("id", *kept), out)
+    read = records.get["records"] - records.get["malformed"]
+    return {"read": read, "malformed": records.get["malformed"], "no_id": records.get["no_id"], **ids.get, **rows.get}

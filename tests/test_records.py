@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rxspark.operators import audit, explain, intake, screening
+from rxspark.sources import catalogue_files
 from rxspark.streaming import jobs
 
 ALERT = "alert_id long, prescription_id long, alert_type string, severity string, title string, detail string, patient_age int"
@@ -198,15 +199,45 @@ def test_work_folder_on_a_cluster(spark, tmp_path):
     assert checkpoint_root(Session())
 
 
-def test_stable_drug_ids(spark):
-    from rxspark.operators.catalogue import DRUG_COLUMNS, stable_drugs
+def test_drugs_keep_their_ids(spark, monkeypatch):
+    """Equal keys and equal rows stay apart; a new price, new rows and rows that leave and return change no other id."""
+    from rxspark.operators import catalogue
 
-    base = {c: None for c in DRUG_COLUMNS if c != "id"}
-    make = lambda price: {**base, "brand_name": "A", "dosage_raw": "1 mg", "price_ppv": price}
+    base = {c: None for c in catalogue.DRUG_COLUMNS if c != "id"}
     schema = ", ".join(f"{c} {'double' if c == 'price_ppv' else 'string'}" for c in base)
-    old = stable_drugs(spark.createDataFrame([make(1.0), make(1.0)], schema)).collect()
-    new = stable_drugs(spark.createDataFrame([make(2.0), {**make(3.0), "brand_name": "B"}], schema)).collect()
-    assert len(old) == 1 and {r.brand_name: r.id for r in new}["A"] == old[0].id and len({r.id for r in new}) == 2
+    make = lambda brand, price, **more: {**base, "brand_name": brand, "dosage_raw": "1 mg", "price_ppv": price, **more}
+
+    def load(rows, known=None):
+        drugs, ids = catalogue.keep_ids(spark.createDataFrame(rows, schema).repartition(3), known)
+        got = sorted((r.brand_name, r.price_ppv or 0, r.id) for r in drugs.collect())
+        assert len(got) == len(rows) == len({i for *_, i in got})
+        return got, ids
+
+    one, ids = load([make("A", 1.0), make("A", 1.0), make("A", 2.0), make("B", 5.0), make("C", None)])
+    assert load([make("A", 1.0), make("A", 1.0), make("A", 2.0), make("B", 5.0), make("C", None)], ids)[0] == one
+    id_of = {(b, p): {i for x, y, i in one if (x, y) == (b, p)} for b, p, _ in one}
+    two, ids = load([make("A", 2.0), make("A", 1.0), make("A", 9.0), make("A", 9.5), make("B", 6.0), make("D", 1.0), make("B", 5.0, presentation="x")], ids)
+    ids2 = {(b, p): {i for x, y, i in two if (x, y) == (b, p)} for b, p, _ in two}
+    assert ids2["A", 2.0] == id_of["A", 2.0] and ids2["A", 1.0] < id_of["A", 1.0]  # the same content
+    assert ids2["A", 1.0] | ids2["A", 9.0] | ids2["A", 9.5] > id_of["A", 1.0]  # another price takes the id that is left
+    assert ids2["B", 6.0] == id_of["B", 5.0] and not ids2["B", 5.0] & id_of["B", 5.0]  # another presentation is another drug
+    three, _ = load([make("C", 3.0), make("D", 1.0)], ids)
+    assert {i for b, _, i in three if b == "C"} == id_of["C", 0] and {i for b, _, i in three if b == "D"} == ids2["D", 1.0]
+    # a taken id is passed over
+    rows = spark.createDataFrame([("n", 1), ("n", 2)], "natural string, occurrence int")
+    wanted = [r.id for r in catalogue._new_ids(rows, spark.createDataFrame([], "id long")).collect()]
+    others = {r.id for r in catalogue._new_ids(rows, spark.createDataFrame([(wanted[0],)], "id long")).collect()}
+    assert wanted[0] not in others and len(others) == 2
+
+
+def test_byte_order_mark(spark, tmp_path):
+    columns = ["id", "created_at", "decision", "alert_type", "alert_severity", "alert_title", "justification", "justification_valid"]
+    audit = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), "IGNORED", None, None, "é", None, None)], ", ".join(
+        f"{c} {'long' if c == 'id' else 'timestamp' if c == 'created_at' else 'string'}" for c in columns)).coalesce(1)
+    for mark in (False, True):
+        catalogue_files.write_audit_csv(audit, str(tmp_path / str(mark)), mark=mark)
+        text = next((tmp_path / str(mark)).glob("part-*")).read_bytes()
+        assert text.startswith(b"\xef\xbb\xbfID,Date" if mark else b"ID,Date")
 
 
 def test_audit_log_is_complete(spark, tmp_path):
