@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rxspark.functions.text import strip
+from rxspark.operators import explain
 from rxspark.rules import OFTEN_IGNORED_SCORE
 
 # fixed values: decision -> shown action
@@ -24,10 +25,15 @@ def unknown_alerts(decisions: DataFrame, alerts: DataFrame) -> DataFrame:
     return decisions.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_anti")
 
 
-def bulk_decisions(payloads: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Payloads hold an array of decisions per prescription."""
+def stored_decisions(decisions: DataFrame, alerts: DataFrame, verdicts: DataFrame, key: str = "alert_id") -> DataFrame:
+    """Decisions as the log keeps them: the alert's snapshot, and for override texts the verdict's label and feedback."""
+    return snapshot_decisions(explain.judge_decisions(decisions, verdicts, key), alerts)
+
+
+def bulk_decisions(payloads: DataFrame, alerts: DataFrame, verdicts: DataFrame, key: str = "alert_id") -> DataFrame:
+    """Payloads hold an array of decisions per prescription; each is stored as a single decision is."""
     flat = payloads.select("prescription_id", "doctor_id", F.inline("decisions"))
-    return snapshot_decisions(flat, alerts)
+    return stored_decisions(flat, alerts, verdicts, key)
 
 
 def history(audit: DataFrame) -> DataFrame:

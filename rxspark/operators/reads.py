@@ -5,38 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rxspark.functions.text import strip
-from rxspark.operators.scale import collect_in_parts
+from rxspark.operators.scale import collect_in_parts, grams, rarest
+from rxspark.session import stored
 
 BUCKETS = 64  # hash buckets of an owner's rows before they are ranked together
 
-def search_drugs(drugs: DataFrame, components: DataFrame, queries: list[str], limit: int = 8) -> DataFrame:
-    """Brand or molecule contains the query (case-insensitive, ``%`` and ``_`` are wildcards).
+NAME_GRAM = 3
+MIN_QUERY = 2  # characters
 
-    Brands that start with the query come first, then by brand and id. All queries are answered in
-    one scan; the rank filter keeps at most ``limit`` rows per query before the shuffle.
+
+def name_grams(drugs: DataFrame) -> DataFrame:
+    """Postings ``gram, id``: the strings of up to NAME_GRAM characters in a drug's brand and molecules, in lower case, and the
+    empty one for every drug that has a name. Publish it once; searches then touch the drugs that share a gram with them."""
+    text = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    every = [grams(text(c), F.lit(n)) for c in ("brand_name", "dci") for n in range(1, NAME_GRAM + 1)]
+    named = drugs.filter("brand_name IS NOT NULL OR dci IS NOT NULL")
+    return named.select("id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))).alias("gram"))
+
+
+def search_drugs(
+    drugs: DataFrame, components: DataFrame, queries: DataFrame, postings: DataFrame | None = None, q: str = "q", limit: int = 8
+) -> DataFrame:
+    """Brand or molecule contains the query (case-insensitive, ``%`` and ``_`` are wildcards), for a table of queries.
+
+    Brands that start with the query come first, then by brand and id; ``limit`` drugs a query. Queries are stripped and answered once
+    each; the service refuses those under MIN_QUERY characters as they come, so they are left out. A query meets the drugs that hold its
+    rarest gram in an equi-join with ``postings`` (of ``name_grams``), and these alone are compared with its pattern.
     """
     if not 1 <= limit <= 20:
         raise ValueError("between 1 and 20 drugs a query can be asked for")
-    hits = []
-    for q in dict.fromkeys(q.strip() for q in queries):
-        found = F.col("brand_name").ilike(f"%{q}%") | F.col("dci").ilike(f"%{q}%")
-        prefix = F.coalesce(F.col("brand_name").ilike(f"{q}%"), F.lit(False))
-        hits.append(F.when(found, F.struct(F.lit(q).alias("q"), prefix.alias("prefix"))))
+    postings = stored(name_grams(drugs), "name-grams") if postings is None else postings
+    asked = queries.filter(F.length(q) >= MIN_QUERY).select(strip(F.col(q)).alias("q")).distinct()
+    # a backslash counts only before a wildcard or another one
+    asked = asked.withColumn("_like", F.regexp_replace("q", r"\\(?![%_\\])", r"\\\\"))
+    literal = F.filter(F.split(F.regexp_replace(F.lower("q"), r"\\", ""), "[%_]"), lambda p: p != "")
+    size = F.least(F.coalesce(F.array_max(F.transform(literal, F.length)), F.lit(0)), F.lit(NAME_GRAM))
+    longest = F.filter(literal, lambda p: F.length(p) >= size)
+    probes = F.when(size == 0, F.array(F.lit(""))).otherwise(F.flatten(F.transform(longest, lambda p: grams(p, size))))
+    asked = asked.withColumn("gram", F.explode(probes))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    candidates = rarest(asked, ["q", "_like"], "gram", counts).join(postings, "gram").select("q", "_like", "id")
     main = components.filter("position = 1").groupBy(F.col("drug_id").alias("id")).agg(F.min("dci").alias("main"))
-    ranked = drugs.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).withColumn(
-        "position",
-        F.row_number().over(
-            Window.partitionBy("hit.q").orderBy(F.desc("hit.prefix"), "brand_name", "id")
-        ),
-    )
-    nonzero = lambda c: F.when(F.col(c) != 0, F.col(c))
+    like = lambda c, before: F.expr(f"{c} ILIKE concat('{before}', _like, '%')")
+    hits = candidates.join(drugs, "id").filter(like("brand_name", "%") | like("dci", "%"))
+    prefix = F.coalesce(like("brand_name", ""), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(prefix.desc(), "brand_name", "id"))
+    nonzero = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
     return (
-        ranked.filter(F.col("position") <= limit)
+        hits.withColumn("place", place).filter(F.col("place") <= limit)
         .join(main, "id", "left")
         .select(
-            F.col("hit.q").alias("q"), "position", "id", "brand_name",
+            "q", F.col("place").alias("position"), "id", "brand_name", "presentation", "dosage_raw",
             F.coalesce(F.when(F.col("main") != "", F.col("main")), F.col("dci")).alias("dci"),
-            nonzero("price_ppv").alias("price_ppv"), "min_age", "indications",
+            "labo_name", "atc_code", nonzero("price_ppv"), nonzero("price_hospital"), "product_type", "indications", "min_age",
             F.coalesce("is_psychoactive", F.lit(False)).alias("is_psychoactive"),
         )
     )

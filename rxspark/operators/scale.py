@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rxspark.session import checkpoint_root
+from rxspark.session import checkpoint_root, stored
 
 
 def running_totals(
@@ -116,29 +116,21 @@ def contained_terms(
     """Rows (text, term) where ``term`` occurs inside ``text``, by equi-joins.
 
     Texts are cut at the separators, and only the distinct pieces are searched: a term without a
-    separator lies inside one piece, of any other term the longest part does. A contained part starts
-    somewhere in the piece, so its first characters are one of the piece's grams.
+    separator lies inside one piece, of any other term the longest part does. That part is looked up by its rarest gram: grams
+    of the pieces are counted first, and a part meets only the pieces that hold the one gram which the fewest pieces hold. So a gram
+    that many terms and many pieces share is no key that all of them meet at. Parts shorter than a gram are one of that length.
     """
     longest = F.array_max(
         F.transform(F.split(F.col(term), separators), lambda p: F.struct(F.length(p).alias("n"), p.alias("part")))
     )["part"]
-    probes = (
-        terms.select(term).distinct().withColumn("_probe", longest).filter(F.col("_probe") != "")
-        .withColumn("_gram", F.left("_probe", F.lit(gram)))
-    )
+    probes = terms.select(term).distinct().withColumn("_probe", longest).filter(F.col("_probe") != "")
+    sizes = [r["n"] for r in probes.select(F.least(F.length("_probe"), F.lit(gram)).alias("n")).distinct().collect()]  # ``gram`` rows at most
+    probes = probes.withColumn("_gram", F.explode(grams(F.col("_probe"), F.least(F.length("_probe"), F.lit(gram)))))
     pieces = texts.select(text).distinct().withColumn("_piece", F.explode(F.array_distinct(F.split(text, separators))))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_piece"), F.lit(1)))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts, lambda i: F.array(*[F.substr(F.col("_piece"), i, F.lit(n)) for n in range(1, gram + 1)])
-            )
-        )
-    )
+    every = F.array_distinct(F.flatten(F.array(*[grams(F.col("_piece"), F.lit(n)) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    held = stored(pieces.select("_piece").distinct().withColumn("_gram", F.explode(every)), "piece-grams")
     found = (
-        pieces.select("_piece").distinct()
-        .withColumn("_gram", F.explode(grams))
-        .join(probes, "_gram")
+        held.join(rarest(probes, [term, "_probe"], "_gram", held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))), "_gram")
         .filter(F.contains("_piece", "_probe"))
         .select("_piece", term)
         .distinct()
@@ -149,3 +141,18 @@ def contained_terms(
         .select(text, term)
         .distinct()
     )
+
+
+def grams(text: Column, size: Column) -> Column:
+    """The different strings of ``size`` characters in a text; none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    whole = F.transform(starts, lambda i: F.substr(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def rarest(probes: DataFrame, keys: list[str], gram: str, counts: DataFrame) -> DataFrame:
+    """For each of ``keys`` the one ``gram`` that ``counts`` (gram, ``_n``) has the fewest of; none if a gram is not there at all."""
+    known = probes.join(counts, gram, "left")
+    return known.groupBy(*keys).agg(
+        F.min_by(gram, F.struct("_n", gram)).alias(gram), F.count_if(F.col("_n").isNull()).alias("_missing")
+    ).filter("_missing = 0").drop("_missing")

@@ -241,8 +241,8 @@ def _parquet_round_trip(x: Inputs):
 
 @query(
     "clean_csv_load", ["fx_drugs"],
-    "SELECT id, brand_name, presentation, dosage_raw, dci, labo_name, therapeutic_class, NULL AS status, atc_code, price_ppv, NULL AS price_hospital,"
-    " NULL AS toxicity_class, NULL AS product_type, indications, is_psychoactive, contraindications, min_age, NULL AS source_url"
+    "SELECT id, brand_name, presentation, dosage_raw, dci, labo_name, therapeutic_class, NULL AS status, atc_code, price_ppv, price_hospital,"
+    " NULL AS toxicity_class, product_type, indications, is_psychoactive, contraindications, min_age, NULL AS source_url"
     " FROM fx_drugs WHERE id % 97 <> 0",
 )
 def _csv_load(x: Inputs):
@@ -259,7 +259,7 @@ def _csv_load(x: Inputs):
     )
     catalogue_files.write_csv(rows, path)
     back = catalogue_files.coerce_drugs(catalogue_files.read_clean_catalogue(x.spark, path))
-    return back.withColumn("price_ppv", F.round(F.col("price_ppv").cast("double"), 2)).select(*catalogue.DRUG_COLUMNS)
+    return back.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in ("price_ppv", "price_hospital")}).select(*catalogue.DRUG_COLUMNS)
 
 
 def _catalogue_file(x: Inputs) -> tuple[str, object]:

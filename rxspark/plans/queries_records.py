@@ -116,16 +116,15 @@ def _patient_update(x: Inputs):
 
 # --- reads ------------------------------------------------------------------------------------------
 
-_SEARCHES = ["red", "bolt", "old w%t", "nothing"]
 query(
-    "drug_search", ["fx_drugs", "fx_components"],
-    """, q AS (SELECT unnest(['red', 'bolt', 'old w%t', 'nothing']) AS q),
+    "drug_search", ["fx_drugs", "fx_components", "fx_searches"],
+    """, asked AS (SELECT DISTINCT trim(q) AS q FROM fx_searches WHERE length(q) >= 2),
     ranked AS (SELECT q, d.*, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN brand_name ILIKE q || '%' THEN 0 ELSE 1 END,
-      brand_name, id) AS position FROM q JOIN fx_drugs d ON brand_name ILIKE '%' || q || '%' OR dci ILIKE '%' || q || '%')
-    SELECT q, cast(r.position AS int) AS position, r.id, brand_name, coalesce(c.dci, r.dci) AS dci, nullif(price_ppv, 0) AS price_ppv, min_age,
-      indications, is_psychoactive FROM ranked r LEFT JOIN fx_components c ON c.drug_id = r.id AND c.position = 1
-    WHERE r.position <= 8""",
-)(lambda x: reads.search_drugs(x.view("fx_drugs"), x.view("fx_components"), _SEARCHES))
+      brand_name, id) AS position FROM asked JOIN fx_drugs d ON brand_name ILIKE '%' || q || '%' OR dci ILIKE '%' || q || '%')
+    SELECT q, cast(r.position AS int) AS position, r.id, brand_name, presentation, dosage_raw, coalesce(c.dci, r.dci) AS dci, labo_name, atc_code,
+      nullif(price_ppv, 0) AS price_ppv, nullif(price_hospital, 0) AS price_hospital, product_type, indications, min_age, is_psychoactive
+    FROM ranked r LEFT JOIN fx_components c ON c.drug_id = r.id AND c.position = 1 WHERE r.position <= 8""",
+)(lambda x: reads.search_drugs(x.view("fx_drugs"), x.view("fx_components"), x.view("fx_searches")))
 query(
     "drug_detail", ["fx_drugs", "fx_components"],
     """SELECT d.id, brand_name, d.dci, price_ppv, coalesce(string_agg(c.position || ':' || c.dci, '|' ORDER BY c.position), '') AS components
@@ -206,13 +205,13 @@ query(
 
 
 def numbered(alerts):
-    """Alert ids from the alert's own values and, for alerts that are equal in all of them, a running number."""
-    own = ["line_id", "rule", "title", "detail"]
-    copy = F.row_number().over(Window.partitionBy(*own).orderBy("line_id"))
-    return alerts.withColumn("_copy", copy).withColumn("alert_id", F.concat_ws("#", *own, F.col("_copy").cast("string"))).drop("_copy")
+    """Alert ids: a hash of the alert's own values and, for alerts that are equal in all of them, a running number."""
+    alerts = alerts.withColumn("_own", F.md5(F.concat_ws("#", "line_id", "rule", "title", "detail").cast("binary")))
+    copy = F.row_number().over(Window.partitionBy("_own").orderBy("line_id"))
+    return alerts.withColumn("_copy", copy).withColumn("alert_id", F.concat_ws("#", "_own", F.col("_copy").cast("string"))).drop("_own", "_copy")
 
 
-_ALERT_ID = """line_id || '#' || rule || '#' || title || '#' || detail || '#' ||
+_ALERT_ID = """md5(line_id || '#' || rule || '#' || title || '#' || detail) || '#' ||
       cast(row_number() OVER (PARTITION BY line_id, rule, title, detail ORDER BY line_id) AS varchar) AS alert_id"""
 _NUMBERED_ALERTS = ALERTS_CTE + f""", numbered AS (SELECT *, {_ALERT_ID},
       trim(string_split(title, '—')[-1]) AS tail FROM alerts),
@@ -281,33 +280,43 @@ def _prompt_sql() -> str:
     kinds = {
         "allergy_family": "ALLERGY_CROSS", "allergy_exact": "ALLERGY", "allergy_text": "ALLERGY", "age": "POSOLOGY",
         "psychoactive": "POSOLOGY", "pregnancy": "CONTRA_INDICATION", "breastfeeding": "CONTRA_INDICATION",
-        "duplicate": "REDUNDANT_DCI", "renal": "RENAL",
+        "duplicate": "REDUNDANT_DCI", "renal": "RENAL", "interaction": "INTERACTION",
     }
     parts = []
     for rule, kind in kinds.items():
         text = "'" + prompts.TEMPLATES[kind].replace("'", "''") + "'"
-        for name in prompts.DEFAULTS[kind]:
-            text = f"replace({text}, '{{{name}}}', {name})"
+        for name, default in prompts.DEFAULTS[kind].items():
+            value = f"coalesce(nullif({name}, ''), '{default}')" if name in ("mechanism", "recommendation") else name
+            text = f"replace({text}, '{{{name}}}', {value})"
         parts.append(f"WHEN '{rule}' THEN {text}")
     return f"CASE rule {' '.join(parts)} END"
 
 
-query(
-    "alert_prompts", _WITH_TH,
-    _NUMBERED_ALERTS + _TEXT_CONTEXT + f" SELECT alert_id, detail, {_prompt_sql()} AS prompt FROM text_context WHERE rule <> 'interaction'",
-)(lambda x: explain.build_prompts(explain.text_context(aged_alerts(x).filter("rule <> 'interaction'"))).select(
-    "alert_id", "detail", "prompt"
-))
+_FROM_ROW = "".join(
+    f", CASE WHEN th.id IS NOT NULL THEN th.{c} WHEN rule = 'interaction' THEN {own} END AS {c}"
+    for c, own in (("dci_a", "t.dci_a"), ("dci_b", "t.dci_b"), ("level_fr", "'interaction'"), ("mechanism", "''"), ("recommendation", "t.detail"))
+)
+_FULL_CONTEXT = _NUMBERED_ALERTS + _TEXT_CONTEXT + _FOUND + f""", renal_found AS (
+      SELECT n.alert_id, nullif(arg_min(d.dci, d.id), '') AS found_dci FROM numbered n JOIN fx_lines l USING (prescription_id)
+        JOIN fx_drugs d ON d.id = l.drug_id WHERE n.rule = 'renal' AND contains(n.tail, d.brand_name) GROUP BY 1),
+    whole AS (SELECT t.alert_id, t.rule, t.detail, t.allergen, t.allergen_family, t.drug_name, coalesce(r.found_dci, t.dci) AS dci, t.context,
+        t.patient_age, t.min_age, t.drug_list, t.crcl, t.threshold{_FROM_ROW}
+      FROM text_context t LEFT JOIN first_row f ON t.rule = 'interaction' AND f.prescription_id = t.prescription_id AND f.title = t.title
+      LEFT JOIN th ON th.id = f.id LEFT JOIN renal_found r ON r.alert_id = t.alert_id)"""
 
 
-@query("alert_full_context")
-def _full_context(x: Inputs):
-    """Every alert with its whole context and prompt (its parts have SQL of their own)."""
-    alerts = aged_alerts(x)
-    found = explain.alert_context(alerts, drug_context(x), closed_thesaurus(x), x.view("fx_drugs"))
-    return explain.build_prompts(found).select("alert_id", *explain.CONTEXT_FIELDS, "prompt")
+def full_contexts(x: Inputs):
+    """Every alert with its whole context: title and detail, thesaurus row, molecules."""
+    alerts = stored(x, aged_alerts(x))
+    return explain.alert_context(alerts, drug_context(x), closed_thesaurus(x), x.view("fx_drugs"))
 
 
+query("alert_prompts", _WITH_TH, _FULL_CONTEXT + f" SELECT alert_id, detail, {_prompt_sql()} AS prompt FROM whole")(
+    lambda x: explain.build_prompts(full_contexts(x)).select("alert_id", "detail", "prompt")
+)
+query("alert_full_context", _WITH_TH, _FULL_CONTEXT + f" SELECT alert_id, {', '.join(explain.CONTEXT_FIELDS)} FROM whole")(
+    lambda x: full_contexts(x).select("alert_id", *explain.CONTEXT_FIELDS)
+)
 query(
     "explanation_filter", ["fx_alerts", "fx_completions"],
     """SELECT a.id AS alert_id, severity, CASE WHEN severity <> 'MINOR' AND length(trim(answer)) BETWEEN 20 AND 800 THEN trim(answer) END
@@ -324,9 +333,13 @@ query(
     _PRESCREEN + f" SELECT alert_id, CASE WHEN short THEN false END AS valid, CASE WHEN short THEN {_SHORT} END AS feedback,"
     " needs_model FROM pre",
 )(lambda x: explain.prescreen_justifications(x.view("fx_decisions")).select("alert_id", "valid", "feedback", "needs_model"))
-_VERDICT = """, verdicts AS (SELECT alert_id, json_valid(b) AND b <> '' AS good, coalesce(json_extract_string(CASE WHEN json_valid(b) THEN b END, '$.valid'), 'false') = 'true' AS v,
-      left(coalesce(json_extract_string(CASE WHEN json_valid(b) THEN b END, '$.feedback'), ''), 200) AS f
-      FROM (SELECT alert_id, regexp_extract(verdict, '(?s)(\\{.*\\})', 1) AS b FROM fx_completions))"""
+# the last value of a key, as it is written
+_LAST = """regexp_extract_all(b, '"{key}"\\s*:\\s*("[^"]*"|\\[[^\\]]*\\]|[^,}}]+)', 1)[-1]"""
+_VERDICT = f""", verdicts AS (SELECT alert_id, json_valid(b) AND b <> '' AS good, coalesce(v NOT IN ('false', '0', '""', '[]', 'null'), false) AS v,
+      left(CASE WHEN f IS NULL THEN '' WHEN f = 'null' THEN 'None' WHEN f IN ('true', 'false') THEN upper(left(f, 1)) || substr(f, 2)
+        WHEN f LIKE '[%' THEN replace(replace(f, '"', ''''), 'true', 'True') ELSE trim(f, '"') END, 200) AS f
+      FROM (SELECT *, {_LAST.format(key="valid")} AS v, {_LAST.format(key="feedback")} AS f
+        FROM (SELECT alert_id, regexp_extract(verdict, '(?s)(\\{{.*\\}})', 1) AS b FROM fx_completions)))"""
 query(
     "verdict_parse", ["fx_completions"],
     _VERDICT + " SELECT alert_id, CASE WHEN good THEN v END AS valid, CASE WHEN good THEN f END AS feedback FROM verdicts",
@@ -360,25 +373,32 @@ query(
     "unknown_alert_decisions", ["fx_decisions", "fx_alerts"],
     "SELECT alert_id, decision FROM fx_decisions WHERE alert_id NOT IN (SELECT id FROM fx_alerts)",
 )(lambda x: audit.unknown_alerts(x.view("fx_decisions"), x.view("fx_alerts")).select("alert_id", "decision"))
+_LABELLED = f""", labelled AS (SELECT * EXCLUDE (short, needs_model), CASE WHEN short THEN 'noise' WHEN needs_model AND good THEN
+        CASE WHEN v THEN 'valid' ELSE 'noise' END END AS justification_valid,
+      CASE WHEN short THEN {_SHORT} WHEN needs_model AND good THEN f END AS justification_feedback
+    FROM pre LEFT JOIN verdicts USING (alert_id))"""
+_STORED = ["alert_id", "prescription_id", "doctor_id", "decision", "justification", "alert_type", "alert_severity", "alert_title",
+           "justification_valid", "justification_feedback"]
+_STORED_SQL = """ SELECT alert_id, l.prescription_id, l.doctor_id, decision, justification, alert_type, severity AS alert_severity, title AS alert_title,
+      justification_valid, justification_feedback FROM labelled l JOIN fx_alerts a ON a.id = l.alert_id"""
+query("stored_decisions", ["fx_decisions", "fx_alerts", "fx_completions"], _PRESCREEN + _VERDICT + _LABELLED + _STORED_SQL)(
+    lambda x: audit.stored_decisions(x.view("fx_decisions"), x.view("fx_alerts"), x.view("fx_completions")).select(*_STORED)
+)
 query(
-    "bulk_decisions", ["fx_decisions", "fx_alerts"],
-    """, d AS (SELECT prescription_id, doctor_id, alert_id, decision, justification FROM fx_decisions
-      UNION ALL SELECT prescription_id, doctor_id, alert_id + 1200, 'ACCEPTED', NULL FROM fx_decisions)
-    SELECT d.prescription_id, d.doctor_id, d.alert_id, decision, justification, alert_type, severity AS alert_severity, title AS alert_title
-    FROM d JOIN fx_alerts a ON a.id = d.alert_id""",
+    "bulk_decisions", ["fx_decisions", "fx_alerts", "fx_completions"],
+    """, sent AS (SELECT prescription_id, doctor_id, alert_id, decision, justification FROM fx_decisions
+      UNION ALL SELECT prescription_id, doctor_id, alert_id + 1200, 'OVERRIDE', justification FROM fx_decisions)"""
+    + _PRESCREEN.replace("FROM fx_decisions", "FROM sent") + _VERDICT + _LABELLED + _STORED_SQL,
 )(lambda x: audit.bulk_decisions(
     # two decisions to a payload: the one of the event and one for a later alert of the same prescription
     x.view("fx_decisions").select(
         "prescription_id", "doctor_id",
         F.array(
             F.struct("alert_id", "decision", "justification"),
-            F.struct(
-                (F.col("alert_id") + 1200).alias("alert_id"), F.lit("ACCEPTED").alias("decision"),
-                F.lit(None).cast("string").alias("justification"),
-            ),
+            F.struct((F.col("alert_id") + 1200).alias("alert_id"), F.lit("OVERRIDE").alias("decision"), "justification"),
         ).alias("decisions"),
-    ), x.view("fx_alerts"),
-))
+    ), x.view("fx_alerts"), x.view("fx_completions"),
+).select(*_STORED))
 query(
     "audit_history", ["fx_audit"], "SELECT prescription_id, created_at, id, decision, alert_type FROM fx_audit",
 )(lambda x: audit.history(x.view("fx_audit")).select("prescription_id", "created_at", "id", "decision", "alert_type"))

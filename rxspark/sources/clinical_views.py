@@ -70,6 +70,8 @@ VIEWS: dict[str, str] = {
           cast(NULL AS string) AS presentation, cast(p_size AS string) || ' mg' AS dosage_raw,
           replace(p_name, ' ', ' | ') AS dci, 'labo ' || p_brand AS labo_name, p_type AS therapeutic_class,
           p_type AS atc_code, CASE WHEN p_partkey % 20 = 3 THEN 0.0 ELSE p_retailprice END AS price_ppv,
+          CASE WHEN p_partkey % 20 = 7 THEN 0.0 WHEN p_partkey % 3 = 0 THEN cast(p_size AS double) + 0.5 END AS price_hospital,
+          CASE WHEN p_size % 2 = 0 THEN 'Médicament' ELSE 'Dispositif' END AS product_type,
           CASE WHEN p_size % 5 = 0 THEN cast(p_size AS string) || ' ans'
                WHEN p_size % 5 = 1 THEN cast(p_size * 6 AS string) || ' mois' END AS min_age,
           p_brand IN ('Brand#13', 'Brand#4') AS is_psychoactive,
@@ -78,6 +80,12 @@ VIEWS: dict[str, str] = {
                WHEN 3 THEN 'Allaitement' END AS contraindications,
           'traitement ' || lower(p_type) AS indications
         FROM {part}""",
+    "fx_searches": """
+        SELECT CASE p_partkey % 10 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN substr(p_name, 2, 5)
+            WHEN 2 THEN upper(substr(p_name, 1, 2)) WHEN 3 THEN ' ' || substr(p_name, 1, 2) || '%' || substr(p_name, 6, 3) || ' '
+            WHEN 4 THEN p_name || ' ' || p_brand WHEN 5 THEN substr(p_name, 2, 1) || '_' || substr(p_name, 4, 1)
+            WHEN 6 THEN substr(p_name, 3, 1) WHEN 7 THEN '%%' WHEN 8 THEN lower(p_brand) || '%' ELSE 'zz' || substr(p_name, 1, 3) END AS q
+        FROM {part}""",
     "fx_components": f"""
         SELECT p_partkey AS drug_id, {_MOLECULE} AS dci, 1 AS position
         FROM {{part}} WHERE p_partkey % 50 <> 7
@@ -212,8 +220,15 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS alert_id,
           CASE event_id % 4 WHEN 0 THEN ' Ok. ' WHEN 1 THEN '  Surveillance de la kaliémie conseillée, cas ' || props || ' '
                WHEN 2 THEN repeat('long ', 170) ELSE NULL END AS answer,
-          CASE event_id % 6
+          CASE event_id % 13
                WHEN 0 THEN '{{"valid": true, "feedback": "justifie"}}'
+               WHEN 5 THEN '{{"valid": "false", "feedback": null}}'
+               WHEN 6 THEN '{{"valid": 0, "feedback": 12}}'
+               WHEN 7 THEN '{{"valid": [], "feedback": ["a", 1, true]}}'
+               WHEN 8 THEN '{{"valid": false, "feedback": "x", "valid": true, "feedback": "y"}}'
+               WHEN 9 THEN '{{"valid": "", "feedback": false}}'
+               WHEN 10 THEN '{{"valid": 2.5, "feedback": 1.5}}'
+               WHEN 11 THEN '{{"valid": true}} puis {{"feedback": "deux"}}'
                WHEN 1 THEN 'Voici : {{"valid": false, "feedback": "' || repeat('vague ', 50) || '"}} fin'
                WHEN 2 THEN 'bla bla'
                WHEN 3 THEN '{{"feedback": "sans verdict"}}'
