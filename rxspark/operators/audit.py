@@ -25,12 +25,15 @@ def unknown_alerts(decisions: DataFrame, alerts: DataFrame) -> DataFrame:
     return decisions.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_anti")
 
 
-def stored_decisions(decisions: DataFrame, alerts: DataFrame, verdicts: DataFrame, key: str = "alert_id") -> DataFrame:
-    """Decisions as the log keeps them: the alert's snapshot, and for override texts the verdict's label and feedback."""
+def stored_decisions(decisions: DataFrame, alerts: DataFrame, verdicts: DataFrame | None = None, key: str = "alert_id") -> DataFrame:
+    """Decisions as the log keeps them: the alert's snapshot, and for override texts the verdict's label and feedback. A model that
+    gave no answer (no ``verdicts``) leaves both empty, but for texts that are too short for it."""
+    if verdicts is None:
+        verdicts = decisions.select(key, F.lit(None).cast("string").alias("verdict")).limit(0)
     return snapshot_decisions(explain.judge_decisions(decisions, verdicts, key), alerts)
 
 
-def bulk_decisions(payloads: DataFrame, alerts: DataFrame, verdicts: DataFrame, key: str = "alert_id") -> DataFrame:
+def bulk_decisions(payloads: DataFrame, alerts: DataFrame, verdicts: DataFrame | None = None, key: str = "alert_id") -> DataFrame:
     """Payloads hold an array of decisions per prescription; each is stored as a single decision is."""
     flat = payloads.select("prescription_id", "doctor_id", F.inline("decisions"))
     return stored_decisions(flat, alerts, verdicts, key)

@@ -24,9 +24,10 @@ def name_grams(drugs: DataFrame) -> DataFrame:
 
 
 def search_drugs(
-    drugs: DataFrame, components: DataFrame, queries: DataFrame, postings: DataFrame | None = None, q: str = "q", limit: int = 8
+    drugs: DataFrame, components: DataFrame, queries: DataFrame | list[str], limit: int = 8, postings: DataFrame | None = None, q: str = "q"
 ) -> DataFrame:
-    """Brand or molecule contains the query (case-insensitive, ``%`` and ``_`` are wildcards), for a table of queries.
+    """Brand or molecule contains the query (case-insensitive, ``%`` and ``_`` are wildcards, a backslash is itself), for a table
+    (or a short list) of queries.
 
     Brands that start with the query come first, then by brand and id; ``limit`` drugs a query. Queries are stripped and answered once
     each; the service refuses those under MIN_QUERY characters as they come, so they are left out. A query meets the drugs that hold its
@@ -34,11 +35,12 @@ def search_drugs(
     """
     if not 1 <= limit <= 20:
         raise ValueError("between 1 and 20 drugs a query can be asked for")
+    if isinstance(queries, list):
+        queries = drugs.sparkSession.createDataFrame([(x,) for x in queries], f"{q} string")
     postings = stored(name_grams(drugs), "name-grams") if postings is None else postings
     asked = queries.filter(F.length(q) >= MIN_QUERY).select(strip(F.col(q)).alias("q")).distinct()
-    # a backslash counts only before a wildcard or another one
-    asked = asked.withColumn("_like", F.regexp_replace("q", r"\\(?![%_\\])", r"\\\\"))
-    literal = F.filter(F.split(F.regexp_replace(F.lower("q"), r"\\", ""), "[%_]"), lambda p: p != "")
+    asked = asked.withColumn("_like", F.replace("q", F.lit("\\"), F.lit("\\\\")))
+    literal = F.filter(F.split(F.lower("q"), "[%_]"), lambda p: p != "")
     size = F.least(F.coalesce(F.array_max(F.transform(literal, F.length)), F.lit(0)), F.lit(NAME_GRAM))
     longest = F.filter(literal, lambda p: F.length(p) >= size)
     probes = F.when(size == 0, F.array(F.lit(""))).otherwise(F.flatten(F.transform(longest, lambda p: grams(p, size))))

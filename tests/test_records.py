@@ -307,3 +307,85 @@ def test_rejected_orders(spark, tmp_path):
         2: (["patient_unknown"], []), 3: (["drugs_unknown"], [7, 8]), 4: (["patient_unknown", "drugs_unknown"], [7]), 6: (["patient_unknown"], []),
     }
     assert [(r.prescription_id, r.rule) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [(1, "psychoactive")]
+
+
+def test_verdicts_by_json_type(spark):
+    """As the service reads them: the truth of a value by its kind, its printed form, the last of repeated keys."""
+    import json
+    import re
+
+    answers = [
+        '{"valid": true, "feedback": "ok"}', '{"valid": "false", "feedback": null}', '{"valid": "", "feedback": true}', '{"valid": 0, "feedback": 12}',
+        '{"valid": 0.0}', '{"valid": 2.5, "feedback": 1.5}', '{"valid": [], "feedback": ["a", 1, true, null]}', '{"valid": [0], "feedback": {"k": "v, w: x"}}',
+        '{"valid": null}', '{"valid": false, "valid": true, "feedback": "x", "feedback": "y"}', '{}', "{bad", 'text', "", None,
+        'Voici {"valid": {}, "feedback": "' + "é" * 300 + '"} fin', '{"valid": true} puis {"valid": false}', '{"valid": {"a": 1}, "feedback": "a}b{c"}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, verdict string")
+    got = {r.i: (r.valid, r.feedback) for r in explain.parse_verdicts(rows).collect()}
+    for i, answer in enumerate(answers):
+        try:
+            parsed = json.loads(re.search(r"\{.*\}", answer or "", re.DOTALL).group())
+            want = (bool(parsed.get("valid", False)), str(parsed.get("feedback", ""))[:200])
+        except (AttributeError, ValueError):
+            want = (None, None)
+        assert got[i] == want, answer
+
+
+def test_search_like_a_scan(spark):
+    """Many queries against names that share most grams, by a plain evaluation of the pattern."""
+    import random
+    import re
+
+    from rxspark.operators import reads
+
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("aAbé%_\\ ") for _ in range(rng.randint(0, 7)))
+    drugs = [(i, rng.choice([name(), name() + "mg", None]), rng.choice([name(), None])) for i in range(120)]
+    columns = "presentation dosage_raw labo_name atc_code product_type indications min_age".split()
+    df = spark.createDataFrame(drugs, "id long, brand_name string, dci string").withColumns(
+        {**{c: F.lit(None).cast("string") for c in columns}, "price_ppv": F.lit(0.0), "price_hospital": F.lit(2.5), "is_psychoactive": F.lit(None).cast("boolean")}
+    )
+    parts = spark.createDataFrame([(3, "main", 1), (4, "", 1)], "drug_id long, dci string, position int")
+    asked = [name() for _ in range(80)] + ["%%", "__", "a", " a", "mg", "MG", None, "zzz"]
+    got = reads.search_drugs(df, parts, spark.createDataFrame([(q,) for q in asked], "q string"), limit=5).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.q, []).append((r.position, r.id))
+        assert r.price_ppv is None and r.price_hospital == 2.5 and r.is_psychoactive is False
+
+    pattern = lambda q: "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in q)
+    for q in {q.strip() for q in asked if q and len(q) >= 2}:
+        p = pattern(q.lower())
+        hits = [(i, b) for i, b, d in drugs if any(x is not None and re.fullmatch(f"(?s).*{p}.*", x.lower()) for x in (b, d))]
+        hits.sort(key=lambda h: (h[1] is None or not re.fullmatch(f"(?s){p}.*", h[1].lower()), h[1] is not None, h[1] or "", h[0]))
+        assert sorted(found.get(q, [])) == [(k + 1, i) for k, (i, _) in enumerate(hits[:5])], q
+
+
+def test_ignore_model_like_a_plain_fit(spark):
+    """Probabilities of the fitted model against a Newton iteration on the same penalised likelihood."""
+    import numpy as np
+
+    from rxspark.operators import scoring
+
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 3, 4)
+    rows = []
+    for i in range(400):
+        kind, severity, hour = ["ALLERGY", "RENAL", None][rng.integers(3)], ["MAJOR", "MINOR"][rng.integers(2)], int(rng.integers(0, 4))
+        p = 1 / (1 + np.exp(-(1.5 * (kind == "RENAL") - 1.0 * (severity == "MAJOR") + 0.3 * hour - 0.4)))
+        rows.append((i, kind, severity, start + dt.timedelta(days=int(rng.integers(3)), hours=hour), "IGNORED" if rng.random() < p else "ACCEPTED"))
+    log = spark.createDataFrame(rows, "id long, alert_type string, alert_severity string, created_at timestamp, decision string")
+    got = {r.id: float(r.ai_ignore_proba) for r in scoring.score_alerts(scoring.fit_ignore_model(log), log.drop("decision")).collect()}
+    features = [[k or "UNKNOWN", s, str(t.hour), str(t.isoweekday() % 7 + 1)] for _, k, s, t, _ in rows]
+    names = [sorted({f[j] for f in features}) for j in range(4)]
+    x = np.array([[f[j] == n for j in range(4) for n in names[j]] for f in features], float)
+    y = np.array([d != "ACCEPTED" for *_, d in rows], float)
+    scale = x.std(axis=0, ddof=1)
+    z = np.c_[np.ones(len(y)), x / scale]
+    penalty = np.diag([0.0] + [0.01] * x.shape[1])
+    beta = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + penalty + 1e-12 * np.eye(len(beta)), z.T @ (p - y) / len(y) + penalty @ beta)
+    want = 1 / (1 + np.exp(-z @ beta))
+    assert max(abs(got[i] - want[i]) for i in range(400)) < 0.005
