@@ -13,8 +13,11 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
    the class that shares most values with others, which is the common origin in a group of near copies. That is
    one comparison a class, however large the node.
 5. Links are contracted to components. Larger nodes that still hold several components branch on, and only
-   classes of different components are compared from then on. After WIDE levels a node follows one path only, by two
-   coordinates at once, so the work no longer grows. A node ends when it is one component, or when it is small, or when at most FEW classes stand
+   classes of different components are compared from then on. At the first of these levels, what stands around a node's pivot is
+   told apart by the values in which it differs from the pivot: classes that differ from it but not from each other share such a
+   value, and each class has few of them. So those next to a pivot, most of a group of near copies, branch by these alone; classes
+   further away from the pivot (at which two classes can be linked although one is not like the pivot) branch as before. After WIDE levels a node follows one path only, by more
+   and more coordinates at once, so the work no longer grows. A node ends when it is one component, or when it is small, or when at most FEW classes stand
    outside its largest component: these are compared with all. After LEVELS branchings links are contracted again, and
    so on until no node is left. Nothing is capped.
 6. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
@@ -48,7 +51,7 @@ TREES = 16
 SMALL = 48  # classes in a node that are compared exhaustively
 FEW = 6  # classes outside a node's largest component that are compared with all others
 WIDE = 2  # levels in which a node picks each coordinate by chance
-LEVELS = 8  # branchings between two contractions
+LEVELS = 12  # branchings between two contractions
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,24 +162,33 @@ def _picked(path: Column, level: int, percent: int) -> Column:
     return F.filter(coordinates, lambda i: F.pmod(F.xxhash64(path, i, F.lit(level)), F.lit(percent * SIGNATURE * 1000)) < 100_000)
 
 
+def _apart(x: str, y: str) -> Column:
+    """How many of the 128 bits of two sketches differ."""
+    return F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
+
+
+def _bounds(percent: int) -> tuple[float, float]:
+    """Differing bits below which a class is next to another one, and above which the two cannot be linked."""
+    expected = 128 * (100 - percent) / 200
+    return 0.75 * expected, expected + 6 * (expected * (1 - (100 - percent) / 200)) ** 0.5
+
+
 def _alike(percent: int) -> Column:
     """Whether the classes ``x`` and ``y`` can be linked, by their sizes and sketches."""
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    expected = 128 * (100 - percent) / 200
-    return sizes & (apart <= expected + 6 * (expected * (1 - (100 - percent) / 200)) ** 0.5)
+    return sizes & (_apart("x", "y") <= _bounds(percent)[1])
 
 
 def _pair() -> list[Column]:
     return [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
 
 
-def _within(nodes: DataFrame, percent: int, left: Column | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` of likely links in one node but different components, from rows ``node, m``. Nodes are small, or few of
-    their rows are ``left``: one side of each pair."""
-    x = (nodes if left is None else nodes.filter(left)).select("node", F.col("m").alias("x"))
+def _within(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of likely links in one node but different components, from rows ``node, m, all, outside``: every class of a
+    node that is compared exhaustively (``all``), else those ``outside`` its largest component, with every other class."""
+    x = nodes.filter("all OR outside").select("node", F.col("m").alias("x"), "all")
     y = nodes.select("node", F.col("m").alias("y"))
-    once = F.col("x.id") < F.col("y.id") if left is None else F.lit(True)
+    once = ~F.col("all") | (F.col("x.id") < F.col("y.id"))
     return x.join(y, "node").filter(once & (F.col("x.c") != F.col("y.c")) & _alike(percent)).select(*_pair())
 
 
@@ -260,25 +272,39 @@ def _branch(nodes: DataFrame, level: int, percent: int) -> DataFrame:
     if level <= WIDE:
         nodes = nodes.withColumn("at", F.explode(_picked(F.col("node"), level, percent)))
         return nodes.withColumn("node", F.xxhash64("node", "at", value(F.col("at")))).drop("at")
-    first, second = (F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(SIGNATURE)).cast("int") for i in (1, 2))
-    return nodes.withColumn("node", F.xxhash64("node", value(first), value(second)))
+    picks = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(SIGNATURE)).cast("int") for i in range(level - 1)]
+    return nodes.withColumn("node", F.xxhash64("node", *(value(p) for p in picks)))
+
+
+def _around(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes around each pivot in nodes of the values in which they differ from it. Nodes of one pivot do this once."""
+    around = nodes.filter(_apart("m", "pivot") <= _bounds(percent)[1]).select(F.col("pivot.id").alias("p"), "m", "signature")
+    around = around.groupBy("p", "m.id").agg(F.first("m").alias("m"), F.first("signature").alias("signature")).drop("id")
+    pivots = classes.select(F.col("id").alias("p"), F.col("signature").alias("_pivot"))
+    values = F.transform("signature", lambda v, i: F.when(v != F.get("_pivot", i), F.xxhash64(F.lit(23), "p", i, v)))
+    return around.join(pivots, "p").select(F.explode(F.array_compact(values)).alias("node"), "m", "signature")
 
 
-def _descend(nodes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+def _descend(nodes: DataFrame, classes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still open, and the level reached."""
-    found = []
+    closed, wide = [], []
     for _ in range(LEVELS):
         level += 1
-        nodes = C.stored(_several(_branch(nodes, level, percent)), "nodes")
-        small, few = F.col("size") <= SMALL, F.col("others") <= FEW
-        found += [
-            _within(nodes.filter(small), percent), _star(nodes.filter(~small & ~few), percent),
-            _within(nodes.filter(~small & few), percent, F.col("m.c") != F.col("main")),
-        ]
-        nodes = nodes.filter(~small & ~few)
+        if level == 1:
+            further = nodes.filter(_apart("m", "pivot") > _bounds(percent)[0])
+            below = _branch(further, level, percent).select("node", "m", "signature").unionByName(_around(nodes, classes, percent))
+        else:
+            below = _branch(nodes, level, percent)
+        nodes = C.stored(_several(below), "nodes")
+        all_ = F.col("size") <= SMALL
+        ended = all_ | (F.col("others") <= FEW)
+        closed.append(nodes.filter(ended).select("node", "m", all_.alias("all"), (F.col("m.c") != F.col("main")).alias("outside")))
+        nodes = nodes.filter(~ended)
+        wide.append(nodes.select("m", "pivot"))
         if nodes.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found), nodes.select("node", "m.id", "m.ties"), level
+    pairs = _within(reduce(DataFrame.unionByName, closed), percent).unionByName(_star(reduce(DataFrame.unionByName, wide), percent))
+    return pairs, nodes.select("node", "m.id", "m.ties"), level
 
 
 def _first_nodes(classes: DataFrame, coordinates: list[int], percent: int) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +316,7 @@ def _first_nodes(classes: DataFrame, coordinates: list[int], percent: int) -> tu
     ties = rows.filter(F.col("size") > SMALL).groupBy("id").agg(F.sum("size").alias("ties"))
     member = F.struct("id", "n", "s0", "s1", F.col("id").alias("c"), F.coalesce("ties", F.lit(0).cast("long")).alias("ties")).alias("m")
     members = classes.select("id", "n", "s0", "s1").join(ties, "id", "left").select("id", member)
-    few = rows.filter(F.col("size") <= SMALL).join(members, "id").select("node", "m")
+    few = rows.filter(F.col("size") <= SMALL).join(members, "id").select("node", "m", F.lit(True).alias("all"), F.lit(True).alias("outside"))
     many = rows.filter(F.col("size") > SMALL).select("node", "id")
     pivots = _several(many.join(members, "id").select("node", "m"))
     return _within(few, percent).unionByName(_star(pivots, percent)), many.join(ties, "id")
@@ -318,10 +344,10 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     level = 0
     while not large.isEmpty():
         whole = work.labelled(large.join(classes.select("id", "n", "s0", "s1", "signature"), "id"))
-        nodes = _several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"), "signature"))
+        nodes = C.stored(_several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"), "signature")), "open-nodes")
         if not level:
             nodes = _per_tree(nodes, first)
-        pairs, large, level = _descend(nodes, level, percent)
+        pairs, large, level = _descend(nodes, classes, level, percent)
         work.add(pairs)
     joined = classes.select("print", "n", "id")
     if work.labels is not None:
