@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm_helpers import documents, empty, linked, overlap, rows, shingles, without_repeats
 from pyspark.sql import functions as F
@@ -43,6 +44,40 @@ def test_repeated_passages_like_window_by_window(spark):
             assert sum(e - s for s, e in r.spans) == len((r.text or "").encode()) - len(r.kept)
 
 
+def test_anchors_of_long_texts_in_pieces(monkeypatch):
+    """Looked at in pieces, every window of a long text has the anchor that it has as a whole."""
+    rng = random.Random(13)
+    texts_ = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (2500, 90, 0, 101, 700)]
+    data = np.frombuffer("".join(texts_).encode(), np.uint8)
+    begin = np.r_[0, np.cumsum([len(t) for t in texts_])]
+
+    def windows():
+        found = [zip(*(x.tolist() for x in part), strict=True) for part in suffix_dedup._anchors(data, begin, 100)]
+        return {(r, s): p for part in found for r, a, e, p, _, _ in part for s in range(a, e + 1)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 99) for t in texts_)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
+    assert windows().keys() == whole.keys()
+    grams = lambda places: [texts_[r][p : p + 32] for (r, _), p in sorted(places.items())]
+    assert grams(windows()) == grams(whole)
+
+
+def test_text_longer_than_a_piece(spark):
+    """2.3 MB in one row: passages that it shares with itself and with another row go, the rest stays."""
+    rng = random.Random(14)
+    prose = lambda n: bytes(rng.choices(b"abcdefghij klmnop", k=n)).decode()
+    one, two = prose(140), prose(180)
+    long = prose(1000) + one + prose(2_300_000) + two + prose(300) + one + prose(50)
+    data = [(1, prose(90) + two + prose(90)), (2, long), (3, None)]
+    got = {r.doc_id: (bytes(r.kept), [tuple(s) for s in r.spans]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1] == (data[0][1].encode(), []) and got[3] == (b"", [])
+    at = [long.index(two), long.rindex(one)]
+    want = [(a, a + len(x)) for a, x in zip(at, (two, one), strict=True)]
+    assert got[2][1] == want
+    assert got[2][0] == (long[: at[0]] + long[at[0] + 180 : at[1]] + long[at[1] + 140 :]).encode()
+
+
 def test_common_anchors_meet_across_blocks(spark, monkeypatch):
     """Many different contexts of one anchor fall into several blocks; their windows still meet."""
     monkeypatch.setattr(suffix_dedup, "BLOCK_CONTEXTS", 3)

@@ -13,7 +13,7 @@ def test_every_operator_has_its_query():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(re.match(rf"op{n}_", q) for q in names) for n in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -23,6 +23,13 @@ def test_documents_stay_if_no_language_was_learned(spark):
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {1, 4}
 
 
+def test_missing_languages_are_filled_in(spark):
+    rows_ = [(i, "the thing and the other thing in there", "en") for i in range(5)] + [(10 + i, "der Hund und die Katze auf dem Dach", "de") for i in range(5)]
+    docs = spark.createDataFrame([*rows_, (20, "the other and the thing", None), (21, "die Katze und der Hund", None), (22, "123", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.languages(spark, docs, "").collect()}
+    assert got == {**{i: lang for i, _, lang in rows_}, 20: "en", 21: "de"}
+
+
 def test_stages_like_brute_force(spark, tmp_path):
     sf_dir = str(tmp_path)
     docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
