@@ -9,7 +9,7 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
    1 / (similarity * SIGNATURE), by a hash of its path; classes with the same minwise value there go on together. A pair
    at the threshold meets in one child on average, a pair far below it dies out. A first branch depends on the coordinate
    alone, so trees that pick the same one share it.
-4. Nodes of at most SMALL classes are compared exhaustively. In a larger one, every class is compared with one of them, the pivot:
+4. Nodes of at most SMALL classes (SMALLER further down) are compared exhaustively. In a larger one, every class is compared with one of them, the pivot:
    the class that shares most values with others, which is the common origin in a group of near copies. That is
    one comparison a class, however large the node.
 5. Links are contracted to components. Larger nodes that still hold several components branch on, and only
@@ -20,11 +20,11 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
    and more coordinates at once, so the work no longer grows. A node ends when it is one component, or when it is small, or when at most FEW classes stand
    outside its largest component: these are compared with all. After LEVELS branchings links are contracted again, and
    so on until no node is left. Nothing is capped.
-6. A comparison is first estimated from sketches, with a margin of six standard deviations, then confirmed on full sets,
+6. A comparison is first estimated from sketches, with a margin of five standard deviations, then confirmed on full sets,
    which are made once from the texts of the ids concerned (found with a bit filter of bounded size, so texts never shuffle).
 
 So a group of near copies costs its size times the trees, not its square. A pair at exactly the threshold that meets only small
-nodes is missed with a chance below 1e-10; of those that have to go down two levels more, one in 2,000. Below that, single pairs at
+nodes is missed with a chance below 1e-6 (by its sketch); of those that have to go down two levels more, one in 2,000. Below that, single pairs at
 the threshold inside a dense group can be missed (each further level halves their chances), but a class is lost to its group only if that
 holds for all its links, the pivots' included.
 
@@ -48,7 +48,8 @@ WORDS = 5
 PERCENT = 75
 SIGNATURE = 64
 TREES = 16
-SMALL = 48  # classes in a node that are compared exhaustively
+SMALL = 48  # classes in a first node that are compared exhaustively
+SMALLER = 24  # and in nodes further down, of which there are more
 FEW = 6  # classes outside a node's largest component that are compared with all others
 WIDE = 2  # levels in which a node picks each coordinate by chance
 LEVELS = 12  # branchings between two contractions
@@ -170,7 +171,7 @@ def _apart(x: str, y: str) -> Column:
 def _bounds(percent: int) -> tuple[float, float]:
     """Differing bits below which a class is next to another one, and above which the two cannot be linked."""
     expected = 128 * (100 - percent) / 200
-    return 0.75 * expected, expected + 6 * (expected * (1 - (100 - percent) / 200)) ** 0.5
+    return 0.75 * expected, expected + 5 * (expected * (1 - (100 - percent) / 200)) ** 0.5
 
 
 def _alike(percent: int) -> Column:
@@ -279,7 +280,7 @@ def _branch(nodes: DataFrame, level: int, percent: int) -> DataFrame:
 def _around(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The classes around each pivot in nodes of the values in which they differ from it. Nodes of one pivot do this once."""
     around = nodes.filter(_apart("m", "pivot") <= _bounds(percent)[1]).select(F.col("pivot.id").alias("p"), "m", "signature")
-    around = around.groupBy("p", "m.id").agg(F.first("m").alias("m"), F.first("signature").alias("signature")).drop("id")
+    around = around.distinct()
     pivots = classes.select(F.col("id").alias("p"), F.col("signature").alias("_pivot"))
     values = F.transform("signature", lambda v, i: F.when(v != F.get("_pivot", i), F.xxhash64(F.lit(23), "p", i, v)))
     return around.join(pivots, "p").select(F.explode(F.array_compact(values)).alias("node"), "m", "signature")
@@ -296,7 +297,7 @@ def _descend(nodes: DataFrame, classes: DataFrame, level: int, percent: int) ->
         else:
             below = _branch(nodes, level, percent)
         nodes = C.stored(_several(below), "nodes")
-        all_ = F.col("size") <= SMALL
+        all_ = F.col("size") <= SMALLER
         ended = all_ | (F.col("others") <= FEW)
         closed.append(nodes.filter(ended).select("node", "m", all_.alias("all"), (F.col("m.c") != F.col("main")).alias("outside")))
         nodes = nodes.filter(~ended)

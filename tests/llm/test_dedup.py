@@ -176,6 +176,7 @@ def _families(rng, n, edits, words=80):
 def test_branching_over_several_levels(spark, monkeypatch):
     """Nodes above four classes branch on, two levels between contractions; the result is that of all pairs."""
     monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "SMALLER", 4)
     monkeypatch.setattr(near_dup, "LEVELS", 2)
     reached = []
     descend = near_dup._descend
