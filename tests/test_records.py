@@ -389,3 +389,48 @@ def test_ignore_model_like_a_plain_fit(spark):
         beta -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(y) + penalty + 1e-12 * np.eye(len(beta)), z.T @ (p - y) / len(y) + penalty @ beta)
     want = 1 / (1 + np.exp(-z @ beta))
     assert max(abs(got[i] - want[i]) for i in range(400)) < 0.005
+
+
+def test_alert_contexts_move_no_alert(spark):
+    """Alerts are numbered, get ages and names where their prescription lies: no exchange after the tables in buckets."""
+    from rxspark.operators import screening
+    from rxspark.plans import queries_records as q
+
+    lines = [(f"l{p}-{n}", p, n, f"m{n}", b, f"m{n}", [f"M{n}"], f"{b} (5 mg)", 30 + p, n) for p in range(1, 5) for n, b in ((1, "AA"), (2, "BB"), (1, "CC"))]
+    lines = [(f"{r[0]}{i}", *r[1:]) for i, r in enumerate(lines)]
+    schema = ("line_id string, prescription_id long, drug_id long, dci string, brand_name string, main_key string, line_keys array<string>, "
+              "label string, age int, _n int")
+    found = F.array(F.struct(
+        F.lit("psychoactive").alias("rule"), F.lit("POSOLOGY").alias("alert_type"), F.lit("MINOR").alias("severity"), F.array().cast("array<string>").alias("values"),
+    ))
+    rows = spark.createDataFrame(lines, schema).withColumns({"name": F.col("brand_name"), "found": found})
+    known = spark.createDataFrame(
+        [(1, "M1", "M2", "n", "MAJOR", "m", None)], "id long, dci_a string, dci_b string, level_fr string, severity string, mechanism string, recommendation string",
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing small enough to hide an exchange
+    try:
+        alerts = q.aged_alerts(screening.co_located(rows), known)
+        plan = alerts._jdf.queryExecution().executedPlan().toString()
+        got = alerts.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan
+    assert len(got) == len({r.alert_id for r in got}) == 12 + 4 + 8 and all(r.patient_age == 30 + r.prescription_id for r in got)
+
+
+def test_scores_are_built_in_expressions(spark):
+    """The score of an alert needs no function object that has to be sent to the tasks; unseen and missing values count as unknown."""
+    from rxspark.operators import scoring
+
+    start = dt.datetime(2024, 3, 4)
+    rows = [(i, ["ALLERGY", "RENAL", None][i % 3], "MAJOR", start + dt.timedelta(hours=i), ["IGNORED", "ACCEPTED"][i % 5 < 2]) for i in range(60)]
+    schema = "id long, alert_type string, alert_severity string, created_at timestamp, decision string"
+    log = spark.createDataFrame(rows, schema)
+    model = scoring.fit_ignore_model(log)
+    asked = spark.createDataFrame([*rows, (98, "NEW", "OTHER", start, None), (99, None, None, None, None)], schema).drop("decision")
+    got = scoring.score_alerts(model, asked)
+    assert "UDF" not in got._jdf.queryExecution().executedPlan().toString()
+    want = model.transform(scoring.score_features(asked)).select("id", "probability").collect()
+    found = {r.id: float(r.ai_ignore_proba) for r in got.collect()}
+    assert all(abs(found[r.id] - r.probability[1]) <= 0.000501 for r in want) and len(found) == 62
