@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: milligrams per unit
@@ -68,8 +67,20 @@ def fit_ignore_model(audit: DataFrame) -> PipelineModel:
 
 
 def score_alerts(model: PipelineModel, alerts: DataFrame) -> DataFrame:
-    """``ai_ignore_proba`` with three decimals."""
+    """``ai_ignore_proba`` with three decimals.
+
+    The model's weights are looked up by feature value in built-in expressions: the stages' own functions carry objects that
+    cannot always be sent to the tasks. A missing or unseen value has the weight of the unknown one.
+    """
+    indexer, encoder, _, regression = model.stages
+    weights, start = [float(w) for w in regression.coefficients.toArray()], 0
+    margin = F.lit(float(regression.intercept))
+    for feature, labels, size in zip(FEATURES, indexer.labelsArray, encoder.categorySizes):
+        own = weights[start:start + size]
+        unknown = F.lit(own[len(labels)] if len(labels) < size else 0.0)
+        known = F.create_map(*[F.lit(v) for pair in zip(labels, own) for v in pair])
+        margin = margin + (F.coalesce(F.try_element_at(known, F.col(feature)), unknown) if labels else unknown)
+        start += size
     kept = alerts.select(F.struct(*alerts.columns).alias("_alert"), *alerts.columns)  # features fill in nulls
-    scored = model.transform(score_features(kept))
-    proba = F.round(F.get(vector_to_array("probability"), F.lit(1)), 3).cast("decimal(4,3)")
-    return scored.select("_alert.*", proba.alias("ai_ignore_proba"))
+    proba = F.round(1 / (1 + F.exp(-margin)), 3).cast("decimal(4,3)")
+    return score_features(kept).select("_alert.*", proba.alias("ai_ignore_proba"))
