@@ -43,13 +43,15 @@ def clean_columns(nfc: bool = True) -> dict[str, Column]:
 
 def clean_catalogue(raw: DataFrame, nfc: bool = True) -> DataFrame:
     """All cleaned columns in one projection; rows without a brand name are dropped (composing letters leaves no
-    name blank, so the test needs no Python)."""
-    named = raw.filter(text.clean_text(F.col("brand_name_raw"), nfc=False).isNotNull())
+    name blank, so the test needs no Python). A raw file is small for the work it makes: its rows are dealt out over all tasks first."""
+    tasks = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), raw.sparkSession.sparkContext.defaultParallelism)
+    named = raw.repartition(tasks).filter(text.clean_text(F.col("brand_name_raw"), nfc=False).isNotNull())
     return named.select(*[c.alias(n) for n, c in clean_columns(nfc).items()])
 
 
 def number_drugs(clean: DataFrame) -> DataFrame:
-    """Ids 1..n by brand, ATC code and dosage; every other column breaks ties."""
+    """Ids 1..n by brand, ATC code and dosage; every other column breaks ties. Rows are written first: a range sort reads them twice."""
+    clean = stored(clean, "clean-drugs")
     first = ["brand_name", "atc_code", "dosage_raw"]
     rest = [c for c in DRUG_COLUMNS if c in clean.columns and c not in (*first, "id")]
     return dense_ids(clean, [F.col(c).asc_nulls_first() for c in [*first, *rest]]).select(*DRUG_COLUMNS)

@@ -8,7 +8,7 @@ from rxspark.functions import clinical, text
 from rxspark.operators import catalogue, quality, scoring, thesaurus
 from rxspark.plans.registry import Inputs, query, register
 from rxspark.rules import CATALOGUE_HEADERS
-from rxspark.session import work_path
+from rxspark.session import stored, work_path
 from rxspark.sources import catalogue_files, merges, web_pages
 
 # --- SQL for the cleaning expressions -----------------------------------------------------
@@ -164,7 +164,7 @@ query(
 )
 def _stable_ids(x: Inputs):
     """Drugs and ids per brand in a first load, and in a second one with other prices, without some brands and with one drug more each."""
-    clean = cleaned(x)
+    clean = stored(cleaned(x), "clean-drugs")
     first, known = catalogue.keep_ids(clean)
     stays = ~F.col("brand_name").like("%7")
     changed = clean.filter(stays).withColumn("price_ppv", F.col("price_ppv") + 1)
