@@ -89,3 +89,28 @@ def test_merges(spark):
     assert sorted(map(tuple, merges.insert_if_absent(old, new, "id", "o").collect())) == [(1, "a"), (2, "b"), (3, "first")]
     upserted = merges.upsert(old, new.filter("v <> 'late'").withColumn("v", F.nullif("v", F.lit("x"))), ["id"], ["v"])
     assert sorted(map(tuple, upserted.collect())) == [(1, "a"), (2, None), (3, "first")]
+
+
+def test_catalogue_is_cleaned_by_all_tasks_and_once(spark):
+    """One small file is one split: its rows are dealt out before the cleaning. Numbering evaluates the clean rows once."""
+    from pyspark.sql import functions as F
+
+    from rxspark.operators import catalogue
+    from rxspark.rules import CATALOGUE_HEADERS
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def spelled(i: int) -> str:
+        seen.add(1)
+        return f"marque {i % 7}"
+
+    raw = spark.range(40).coalesce(1).select(F.col("id"), *[F.lit("x").alias(c) for c in CATALOGUE_HEADERS.values()])
+    clean = catalogue.clean_catalogue(raw.drop("id"))
+    assert "RoundRobinPartitioning" in clean._jdf.queryExecution().executedPlan().toString()
+    rows = raw.coalesce(1).select(
+        F.udf(spelled, "string")("id").alias("brand_name"),
+        *[F.lit(str(i)).alias(c) for i, c in enumerate(catalogue.DRUG_COLUMNS) if c not in ("id", "brand_name")],
+    )
+    numbered = catalogue.number_drugs(rows).collect()
+    assert sorted(r.id for r in numbered) == list(range(1, 41)) and [r.brand_name for r in sorted(numbered)] == sorted(r.brand_name for r in numbered)
+    assert seen.value == 40
