@@ -16,10 +16,15 @@ MIN_QUERY = 2  # characters
 
 def name_grams(drugs: DataFrame) -> DataFrame:
     """Postings ``gram, id``: the strings of up to NAME_GRAM characters in a drug's brand and molecules, in lower case, and the
-    empty one for every drug that has a name. Publish it once; searches then touch the drugs that share a gram with them."""
+    empty one for every drug that has a name. Publish it once; searches then touch the drugs that share a gram with them.
+
+    A table of drugs is small for the postings it makes, some 60 a drug: its rows are dealt out to all tasks first, so that no task
+    writes, or later reads, most of them."""
     text = lambda c: F.coalesce(F.lower(c), F.lit(""))
     every = [grams(text(c), F.lit(n)) for c in ("brand_name", "dci") for n in range(1, NAME_GRAM + 1)]
-    named = drugs.filter("brand_name IS NOT NULL OR dci IS NOT NULL")
+    spark = drugs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = drugs.filter("brand_name IS NOT NULL OR dci IS NOT NULL").select("id", "brand_name", "dci").repartition(tasks)
     return named.select("id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))).alias("gram"))
 
 

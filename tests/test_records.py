@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from rxspark.operators import audit, explain, intake, screening
+from rxspark.operators import audit, explain, intake, reads, screening
 from rxspark.sources import catalogue_files
 from rxspark.streaming import jobs
 
@@ -434,3 +434,13 @@ def test_scores_are_built_in_expressions(spark):
     want = model.transform(scoring.score_features(asked)).select("id", "probability").collect()
     found = {r.id: float(r.ai_ignore_proba) for r in got.collect()}
     assert all(abs(found[r.id] - r.probability[1]) <= 0.000501 for r in want) and len(found) == 62
+
+
+def test_name_grams_are_made_by_all_tasks(spark):
+    """Drugs of one partition: no task holds most of the postings, and each is there once."""
+    drugs = spark.range(0, 2000, 1, 1).selectExpr("id", "concat('Brand ', id) AS brand_name", "if(id % 2 = 0, 'Molecule', NULL) AS dci")
+    assert drugs.rdd.getNumPartitions() == 1
+    postings = reads.name_grams(drugs)
+    sizes = [r["count"] for r in postings.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert postings.count() == postings.distinct().count() and postings.filter("gram = ''").count() == 2000
