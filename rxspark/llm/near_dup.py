@@ -286,14 +286,20 @@ def _around(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return around.join(pivots, "p").select(F.explode(F.array_compact(values)).alias("node"), "m", "signature")
 
 
-def _descend(nodes: DataFrame, classes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
-    """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still open, and the level reached."""
+def _descend(
+    nodes: DataFrame, classes: DataFrame, level: int, percent: int, first: list[tuple[int, int]]
+) -> tuple[DataFrame, DataFrame, int]:
+    """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still open, and the level reached.
+
+    What stands next to a pivot branches alike in all trees that share a first node; only classes ``further`` away go on once a tree.
+    """
     closed, wide = [], []
     for _ in range(LEVELS):
         level += 1
         if level == 1:
             further = nodes.filter(_apart("m", "pivot") > _bounds(percent)[0])
-            below = _branch(further, level, percent).select("node", "m", "signature").unionByName(_around(nodes, classes, percent))
+            below = _branch(_per_tree(further, first), level, percent).select("node", "m", "signature")
+            below = below.unionByName(_around(nodes, classes, percent))
         else:
             below = _branch(nodes, level, percent)
         nodes = C.stored(_several(below), "nodes")
@@ -346,9 +352,7 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     while not large.isEmpty():
         whole = work.labelled(large.join(classes.select("id", "n", "s0", "s1", "signature"), "id"))
         nodes = C.stored(_several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"), "signature")), "open-nodes")
-        if not level:
-            nodes = _per_tree(nodes, first)
-        pairs, large, level = _descend(nodes, classes, level, percent)
+        pairs, large, level = _descend(nodes, classes, level, percent, first)
         work.add(pairs)
     joined = classes.select("print", "n", "id")
     if work.labels is not None:

@@ -194,6 +194,25 @@ def test_branching_over_several_levels(spark, monkeypatch):
     assert all(want[i] == want[got[i]] for i in got)
 
 
+def test_only_classes_away_from_a_pivot_branch_per_tree(spark, monkeypatch):
+    """Of a group of near copies, those next to a pivot are not copied for every tree."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    seen = []
+    per_tree = near_dup._per_tree
+
+    def told(nodes, first):
+        seen.extend(nodes.select(near_dup._apart("m", "pivot").alias("n")).collect())
+        return per_tree(nodes, first)
+
+    monkeypatch.setattr(near_dup, "_per_tree", told)
+    rng = random.Random(8)
+    texts_ = list(enumerate(" ".join(x) for x in _families(rng, 90, 2)))
+    want = linked({i: shingles(t) for i, t in texts_})
+    got = {r.id: r.component for r in near_dup.linked_classes(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    assert seen and min(r.n for r in seen) > near_dup._bounds(near_dup.PERCENT)[0]
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want) and all(want[i] == want[got[i]] for i in got)
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100), (200, 150)], "a long, b long")
     got = {r.id: r.component for r in near_dup.components(edges).collect()}
