@@ -1,6 +1,7 @@
 """Explanations, override verdicts, audit and intake on hand-made rows."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -413,9 +414,12 @@ def test_alert_contexts_move_no_alert(spark):
         alerts = q.aged_alerts(screening.co_located(rows), known)
         plan = alerts._jdf.queryExecution().executedPlan().toString()
         got = alerts.collect()
+        drugs = spark.createDataFrame([(1, "AA", "m1")], "id long, brand_name string, dci string")
+        whole = explain.alert_context(alerts, rows, known, drugs)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "Exchange" not in plan
+    assert "_own#" in plan and not re.search(r"Sort \[prescription_id#\w+ ASC NULLS FIRST, (_own|_renal)#", plan + whole)  # sorted by line, once
     assert len(got) == len({r.alert_id for r in got}) == 12 + 4 + 8 and all(r.patient_age == 30 + r.prescription_id for r in got)
 
 
