@@ -448,3 +448,27 @@ def test_name_grams_are_made_by_all_tasks(spark):
     sizes = [r["count"] for r in postings.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
     assert postings.count() == postings.distinct().count() and postings.filter("gram = ''").count() == 2000
+
+
+def test_a_batch_fetches_its_references_once(spark, tmp_path, monkeypatch):
+    """What a batch fetches is computed once, though the check of references and the screening both read it."""
+    written = []
+    monkeypatch.setattr(jobs, "stored", lambda df, name: written.append(name) or df.localCheckpoint(), raising=False)
+    schema = "id long, patient_id long, doctor_id long, created_at timestamp, hook_event string, lines array<struct<drug_id:bigint,dci:string,dose_mg:double,dose_unit_raw:string>>"
+    spark.createDataFrame([(1, 1, 5, dt.datetime(2024, 1, 1), None, [(1, "m", 1.0, "mg")])], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    drugs = spark.createDataFrame(
+        [(1, "A", "x", None, True, "", "")],
+        "id long, brand_name string, dci string, min_age string, is_psychoactive boolean, contraindications string, indications string",
+    )
+    patients = spark.createDataFrame(
+        [(1, None, None, False, None, False, [])],
+        "id long, birthdate date, creatinine_clearance double, is_pregnant boolean, gestational_weeks int, is_breastfeeding boolean, known_allergies array<string>",
+    )
+    thesaurus = spark.createDataFrame([], "id long, dci_a string, dci_b string, level_fr string, severity string, mechanism string, recommendation string")
+    profiles = screening.drug_profiles(drugs, spark.createDataFrame([(1, "x", 1)], "drug_id long, dci string, position int"))
+    jobs.screen_events(
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in")), patients, profiles, thesaurus, "2024-01-01",
+        str(tmp_path / "alerts"), str(tmp_path / "rejected"), str(tmp_path / "cp"),
+    ).awaitTermination()
+    assert written == ["batch-patients", "batch-profiles"]
+    assert [r.rule for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == ["psychoactive"]
