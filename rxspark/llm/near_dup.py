@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ SMALLER = 24  # and in nodes further down, of which there are more
 FEW = 6  # classes outside a node's largest component that are compared with all others
 WIDE = 2  # levels in which a node picks each coordinate by chance
 LEVELS = 12  # branchings between two contractions
+MISSED = 1e-7  # chance at which a class with a link counts as one that has none, by its first nodes
 
 
 def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def _several(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"),
         F.max_by("pivot", F.struct("pivot.ties", -F.col("pivot.id"))).alias("pivot"),
     )
-    return rows.drop("size", "others", "main", "pivot").join(nodes.filter("others > 0"), "node")
+    return rows.join(nodes.filter("others > 0"), "node")
 
 
 def _first_coordinates(spark, trees: int, percent: int) -> list[tuple[int, int]]:
@@ -277,32 +279,37 @@ def _branch(nodes: DataFrame, level: int, percent: int) -> DataFrame:
     return nodes.withColumn("node", F.xxhash64("node", *(value(p) for p in picks)))
 
 
-def _around(nodes: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _signed(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of nodes with the signature of their class."""
+    return rows.withColumn("id", F.col("m.id")).join(members.select("id", "signature"), "id").drop("id")
+
+
+def _around(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The classes around each pivot in nodes of the values in which they differ from it. Nodes of one pivot do this once."""
-    around = nodes.filter(_apart("m", "pivot") <= _bounds(percent)[1]).select(F.col("pivot.id").alias("p"), "m", "signature")
-    around = around.distinct()
-    pivots = classes.select(F.col("id").alias("p"), F.col("signature").alias("_pivot"))
+    around = nodes.filter(_apart("m", "pivot") <= _bounds(percent)[1]).select(F.col("pivot.id").alias("p"), "m").distinct()
+    pivots = members.select(F.col("id").alias("p"), F.col("signature").alias("_pivot"))
     values = F.transform("signature", lambda v, i: F.when(v != F.get("_pivot", i), F.xxhash64(F.lit(23), "p", i, v)))
-    return around.join(pivots, "p").select(F.explode(F.array_compact(values)).alias("node"), "m", "signature")
+    return _signed(around, members).join(pivots, "p").select(F.explode(F.array_compact(values)).alias("node"), "m")
 
 
 def _descend(
-    nodes: DataFrame, classes: DataFrame, level: int, percent: int, first: list[tuple[int, int]]
+    nodes: DataFrame, members: DataFrame, level: int, percent: int, first: list[tuple[int, int]]
 ) -> tuple[DataFrame, DataFrame, int]:
     """Up to LEVELS branchings: the pairs to confirm, ``node, id, ties`` of nodes that are still open, and the level reached.
 
     What stands next to a pivot branches alike in all trees that share a first node; only classes ``further`` away go on once a tree.
+    The rows of a branching are written before their nodes are looked at, as these are grouped and then joined: they are made once.
     """
     closed, wide = [], []
     for _ in range(LEVELS):
         level += 1
         if level == 1:
             further = nodes.filter(_apart("m", "pivot") > _bounds(percent)[0])
-            below = _branch(_per_tree(further, first), level, percent).select("node", "m", "signature")
-            below = below.unionByName(_around(nodes, classes, percent))
+            below = _branch(_per_tree(_signed(further, members), first), level, percent).select("node", "m")
+            below = below.unionByName(_around(nodes, members, percent))
         else:
-            below = _branch(nodes, level, percent)
-        nodes = C.stored(_several(below), "nodes")
+            below = _branch(_signed(nodes, members), level, percent).select("node", "m")
+        nodes = C.stored(_several(C.stored(below, "branched")), "nodes")
         all_ = F.col("size") <= SMALLER
         ended = all_ | (F.col("others") <= FEW)
         closed.append(nodes.filter(ended).select("node", "m", all_.alias("all"), (F.col("m.c") != F.col("main")).alias("outside")))
@@ -314,19 +321,33 @@ def _descend(
     return pairs, nodes.select("node", "m.id", "m.ties"), level
 
 
+def _least_shared(coordinates: int, percent: int) -> int:
+    """The number of coordinates of which linked classes agree in fewer with a chance below MISSED only."""
+    p, chance = percent / 100, 0.0
+    for n in range(coordinates + 1):
+        chance += comb(coordinates, n) * p**n * (1 - p) ** (coordinates - n)
+        if chance >= MISSED:
+            return n
+    return coordinates
+
+
 def _first_nodes(classes: DataFrame, coordinates: list[int], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs from the first branches, and ``node, id`` of the large nodes. Narrow rows find the nodes with several classes."""
+    """Pairs from the first branches, and ``node, id, ties`` of the large nodes. Narrow rows find the nodes with several classes.
+
+    A class that shares too few of its first nodes with any other has no link to find: it does not branch on.
+    """
     branch = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.element_at("signature", i + 1).alias("value")) for i in coordinates)))
     rows = classes.select("id", branch.alias("p")).select("id", F.xxhash64("p.at", "p.value").alias("node"))
     sizes = C.stored(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node-sizes")
     rows = C.stored(rows.join(sizes, "node"), "first-nodes")
-    ties = rows.filter(F.col("size") > SMALL).groupBy("id").agg(F.sum("size").alias("ties"))
+    ties = rows.groupBy("id").agg(F.sum(F.when(F.col("size") > SMALL, F.col("size"))).alias("ties"), F.count("*").alias("shared"))
+    going = ties.filter(F.col("ties").isNotNull() & (F.col("shared") >= _least_shared(len(coordinates), percent))).select("id", "ties")
     member = F.struct("id", "n", "s0", "s1", F.col("id").alias("c"), F.coalesce("ties", F.lit(0).cast("long")).alias("ties")).alias("m")
-    members = classes.select("id", "n", "s0", "s1").join(ties, "id", "left").select("id", member)
+    members = classes.select("id", "n", "s0", "s1").join(ties.filter("ties IS NOT NULL"), "id", "left").select("id", member)
     few = rows.filter(F.col("size") <= SMALL).join(members, "id").select("node", "m", F.lit(True).alias("all"), F.lit(True).alias("outside"))
     many = rows.filter(F.col("size") > SMALL).select("node", "id")
     pivots = _several(many.join(members, "id").select("node", "m"))
-    return _within(few, percent).unionByName(_star(pivots, percent)), many.join(ties, "id")
+    return _within(few, percent).unionByName(_star(pivots, percent)), many.join(going, "id")
 
 
 def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
@@ -349,10 +370,12 @@ def linked_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     large = C.stored(large, "large-nodes")
     work.add(pairs)
     level = 0
+    members = classes.select("id", "n", "s0", "s1", "signature")
     while not large.isEmpty():
-        whole = work.labelled(large.join(classes.select("id", "n", "s0", "s1", "signature"), "id"))
-        nodes = C.stored(_several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"), "signature")), "open-nodes")
-        pairs, large, level = _descend(nodes, classes, level, percent, first)
+        members = C.stored(members.join(large.select("id").distinct(), "id", "left_semi"), "members")
+        whole = work.labelled(large.join(members.drop("signature"), "id"))
+        nodes = C.stored(_several(whole.select("node", F.struct("id", "n", "s0", "s1", "c", "ties").alias("m"))), "open-nodes")
+        pairs, large, level = _descend(nodes, members, level, percent, first)
         work.add(pairs)
     joined = classes.select("print", "n", "id")
     if work.labels is not None:

@@ -194,6 +194,52 @@ def test_branching_over_several_levels(spark, monkeypatch):
     assert all(want[i] == want[got[i]] for i in got)
 
 
+def test_a_branching_is_made_once(spark, monkeypatch):
+    """Nodes are grouped and joined from written rows: the explode of a branching is in no plan that reads its rows twice."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    plans = []
+    several = near_dup._several
+
+    def told(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return several(rows)
+
+    monkeypatch.setattr(near_dup, "_several", told)
+    rng = random.Random(9)
+    texts_ = list(enumerate(" ".join(x) for x in _families(rng, 60, 2)))
+    near_dup.linked_classes(spark.createDataFrame(texts_, "doc_id long, text string")).collect()
+    assert len(plans) > 2 and not any("Generate" in p for p in plans)
+
+
+def test_classes_that_share_too_few_first_nodes_do_not_branch(spark, monkeypatch):
+    """Texts that have one line in common and nothing else meet in large first nodes, and go no further."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    seen = []
+    per_tree = near_dup._per_tree
+    monkeypatch.setattr(near_dup, "_per_tree", lambda nodes, first: seen.append(nodes.count()) or per_tree(nodes, first))
+    rng = random.Random(10)
+    line = " ".join(f"p{i}" for i in range(12))
+    data = [line + " " + " ".join(f"z{rng.randrange(10**9)}" for _ in range(40)) for _ in range(60)]
+    data += [" ".join(x) for x in _families(rng, 60, 3)]
+    want = linked({i: shingles(t) for i, t in enumerate(data)})
+    got = {r.id: r.component for r in near_dup.linked_classes(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    assert all(got[i] == want[i] for i in range(60)) and all(want[i] == want[got[i]] for i in got)
+    first = {at for _, at in near_dup._first_coordinates(spark, near_dup.TREES, near_dup.PERCENT)}
+    least = near_dup._least_shared(len(first), near_dup.PERCENT)
+    assert 4 <= least <= len(first) // 3
+    classes, _ = _first_rows(spark, data)
+    large = near_dup._first_nodes(classes, sorted(first), near_dup.PERCENT)[1]
+    going = {r.id for r in large.select("id").distinct().collect()}
+    assert going and sum(i < 60 for i in going) <= 12 < sum(i >= 60 for i in going)
+
+
+def _first_rows(spark, data):
+    every = spark.createDataFrame(list(enumerate(data)), "id long, text string").mapInArrow(
+        near_dup._signatures, "id long, n_shingles long, print binary, s0 long, s1 long, signature array<int>"
+    )
+    return every.selectExpr("id", "n_shingles AS n", "s0", "s1", "signature"), every
+
+
 def test_only_classes_away_from_a_pivot_branch_per_tree(spark, monkeypatch):
     """Of a group of near copies, those next to a pivot are not copied for every tree."""
     monkeypatch.setattr(near_dup, "SMALL", 4)
