@@ -472,3 +472,28 @@ def test_a_batch_fetches_its_references_once(spark, tmp_path, monkeypatch):
     ).awaitTermination()
     assert written == ["batch-patients", "batch-profiles"]
     assert [r.rule for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == ["psychoactive"]
+
+
+def test_interaction_contexts_write_only_what_interactions_read(spark, tmp_path, monkeypatch):
+    """Lines go to their buckets with four columns, and the contexts are those of all columns."""
+    from rxspark.plans import queries_records, queries_screening
+    from rxspark.plans.registry import Inputs
+
+    names = ["alpha beta", "beta alpha", "gamma alpha", "delta gamma"]
+    spark.createDataFrame(
+        [(i, names[i % 4], f"Brand#{i % 3}", "PROMO", i % 9 + 1, 10.0) for i in range(1, 13)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    ).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(
+        [(o, 1 + (o * 3 + n * 5) % 12, 1, n, 2.0, "2020-01-01") for o in range(6) for n in range(4)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate string",
+    ).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    plain = screening.co_located
+    monkeypatch.setattr(screening, "co_located", lambda df, *a, **k: written.append(df.columns) or plain(df, *a, **k))
+    x = Inputs(spark, str(tmp_path))
+    got = sorted(map(tuple, queries_records._interaction_contexts(x).collect()))
+    assert got and written[0] == screening.INTERACTION_FACTS
+    facts = queries_screening.line_facts
+    monkeypatch.setattr(queries_records, "line_facts", lambda x, *_: facts(x))
+    assert sorted(map(tuple, queries_records._interaction_contexts(x).collect())) == got and len(written[2]) > 4
