@@ -12,6 +12,7 @@ A text's set is its distinct five-word shingles (with fewer words, the whole seq
 4. Nodes of at most SMALL classes (SMALLER further down) are compared exhaustively. In a larger one, every class is compared with one of them, the pivot:
    the class that shares most values with others, which is the common origin in a group of near copies. That is
    one comparison a class, however large the node.
+   Classes that share fewer first nodes with others than linked classes do (chance below MISSED) end here: texts with one common line.
 5. Links are contracted to components. Larger nodes that still hold several components branch on, and only
    classes of different components are compared from then on. At the first of these levels, what stands around a node's pivot is
    told apart by the values in which it differs from the pivot: classes that differ from it but not from each other share such a
