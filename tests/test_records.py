@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from rxspark.operators import audit, explain, intake, reads, screening
+from rxspark.session import stored
 from rxspark.sources import catalogue_files
 from rxspark.streaming import jobs
 
@@ -497,3 +498,51 @@ def test_interaction_contexts_write_only_what_interactions_read(spark, tmp_path,
     facts = queries_screening.line_facts
     monkeypatch.setattr(queries_records, "line_facts", lambda x, *_: facts(x))
     assert sorted(map(tuple, queries_records._interaction_contexts(x).collect())) == got and len(written[2]) > 4
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """What a stored table or one in buckets was made from leaves the disks with the write, and the session's settings stay as they were."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(key), _shuffle_files(spark)
+    rows = spark.range(0, 2000, 1, 4).selectExpr("id", "id % 50 AS prescription_id")
+    tables = [stored(rows.repartition(3, "id"), "released"), screening.co_located(rows)]
+    assert not {f for f in _shuffle_files(spark) if f not in files and f.endswith(".data")}
+    assert [table.count() for table in tables] == [2000, 2000]
+    assert spark.conf.get(key) == before
+
+
+def test_interactions_are_numbered_in_a_part_of_their_own(spark):
+    """Interactions and other alerts never stand in one task's rows; equal alerts of a part have different numbers, and only renal
+    alerts meet the drugs, only interactions the thesaurus."""
+    from rxspark.plans import queries_records as q
+
+    lines = [(f"l{n}", 1, n, "m1" if n < 3 else "m2", "M1 AA" if n < 3 else "M2 BB", "m1" if n < 3 else "m2", ["M1"] if n < 3 else ["M2"], "x", 40) for n in range(1, 4)]
+    schema = "line_id string, prescription_id long, drug_id long, dci string, brand_name string, main_key string, line_keys array<string>, label string, age int"
+    found = F.array(F.struct(
+        F.lit("renal").alias("rule"), F.lit("RENAL").alias("alert_type"), F.lit("MAJOR").alias("severity"), F.array(*map(F.lit, ("m", "60", "20", "s"))).alias("values"),
+    ))
+    facts = screening.co_located(spark.createDataFrame(lines, schema).withColumns({"name": F.col("brand_name"), "found": found}))
+    known = spark.createDataFrame(
+        [(1, "M1", "M2", "n", "MAJOR", "risk", "do")], "id long, dci_a string, dci_b string, level_fr string, severity string, mechanism string, recommendation string",
+    )
+    drugs = spark.createDataFrame([(1, "M1 AA", "first"), (3, "M2 BB", "third")], "id long, brand_name string, dci string")
+    parts = q.aged_parts(facts, known)
+    seen = {}
+    for types, part in parts.items():
+        whole = explain.alert_context(part, facts, known, drugs, types)
+        plan = whole._jdf.queryExecution().optimizedPlan().toString()
+        assert ("_names" in plan) == ("INTERACTION" in types) and ("_renal" in plan) == ("RENAL" in types)
+        got = whole.collect()
+        assert {r.alert_type for r in got} <= set(types)
+        seen.update({r.alert_id: (r.alert_type, r.dci, r.mechanism) for r in got})
+    # both lines of AA meet the one of BB: two equal alerts
+    assert sorted(seen.values(), key=str) == sorted(
+        [("INTERACTION", None, "risk")] * 2 + [("REDUNDANT_DCI", "M1", None)] + [("RENAL", "first", None)] * 2 + [("RENAL", "third", None)], key=str,
+    )
+    assert sorted(i[-2:] for i, v in seen.items() if v[0] == "INTERACTION") == ["#1", "#2"]
+    assert {r.alert_id for r in q.aged_alerts(facts, known).collect()} == set(seen)
