@@ -546,3 +546,48 @@ def test_interactions_are_numbered_in_a_part_of_their_own(spark):
     )
     assert sorted(i[-2:] for i, v in seen.items() if v[0] == "INTERACTION") == ["#1", "#2"]
     assert {r.alert_id for r in q.aged_alerts(facts, known).collect()} == set(seen)
+
+
+def test_reference_tables_in_buckets_are_not_moved(spark, monkeypatch):
+    """A batch with many ids reads a table in buckets of the id where it lies: only the ids are moved, and no row is sorted."""
+    monkeypatch.setattr(jobs, "LOOKUP", 1)
+    table = screening.co_located(spark.createDataFrame([(i % 40, f"v{i}") for i in range(50)], "id long, v string"), "id")
+    ids = spark.createDataFrame([(3,), (3,), (None,), (7,), (99,)], "patient_id long")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jobs.only(table, "id", ids)
+        plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.v for r in found.collect()) == ["v3", "v43", "v47", "v7"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    final = plan[plan.index("AdaptiveSparkPlan") :]
+    assert final.count("Exchange hashpartitioning") == 1 and "Sort [" not in final
+
+
+def test_refused_orders_leave_before_the_screening(spark, tmp_path, monkeypatch):
+    """The screening gets the headers of accepted orders and all lines of the batch, so that no line is moved to drop a few."""
+    given = []
+    plain = jobs.screen
+    monkeypatch.setattr(jobs, "screen", lambda headers, lines, *a, **k: given.append((sorted(r.id for r in headers.collect()), lines.count())) or plain(headers, lines, *a, **k))
+    schema = "id long, patient_id long, doctor_id long, created_at timestamp, hook_event string, lines array<struct<drug_id:bigint,dci:string,dose_mg:double,dose_unit_raw:string>>"
+    order = lambda i, patient, *drugs: (i, patient, 5, dt.datetime(2024, 1, 1), None, [(d, "m", 1.0, "mg") for d in drugs])
+    rows = [order(1, 1, 1), order(2, 9, 1), order(3, 1, 1, 8), order(4, 1, 1, 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    drugs = spark.createDataFrame(
+        [(1, "A", "x", None, True, "", "")],
+        "id long, brand_name string, dci string, min_age string, is_psychoactive boolean, contraindications string, indications string",
+    )
+    patients = spark.createDataFrame(
+        [(1, None, None, False, None, False, [])],
+        "id long, birthdate date, creatinine_clearance double, is_pregnant boolean, gestational_weeks int, is_breastfeeding boolean, known_allergies array<string>",
+    )
+    thesaurus = spark.createDataFrame([], "id long, dci_a string, dci_b string, level_fr string, severity string, mechanism string, recommendation string")
+    profiles = screening.drug_profiles(drugs, spark.createDataFrame([(1, "x", 1)], "drug_id long, dci string, position int"))
+    jobs.screen_events(
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in")), patients, profiles, thesaurus, "2024-01-01",
+        str(tmp_path / "alerts"), str(tmp_path / "rejected"), str(tmp_path / "cp"),
+    ).awaitTermination()
+    assert given == [([1, 4], 6)]
+    rules = sorted((r.prescription_id, r.rule) for r in spark.read.parquet(str(tmp_path / "alerts")).collect())
+    assert rules == [(1, "psychoactive"), (4, "duplicate"), (4, "psychoactive"), (4, "psychoactive")]
