@@ -110,8 +110,10 @@ ALERT_ITEM = ["alert_type", "severity", "title", "detail"]
 
 
 def _whole(parts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """One sorted array per key from the arrays of its parts."""
-    return parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(name))).alias(name))
+    """One sorted array per key from the arrays of its parts; the array of an only part is sorted already."""
+    lists = parts.groupBy(*keys).agg(F.collect_list(name).alias("_lists"))
+    whole = F.when(F.size("_lists") > 1, F.sort_array(F.flatten("_lists"))).otherwise(F.get("_lists", F.lit(0)))
+    return lists.select(*keys, whole.alias(name))
 
 
 def prescription_documents(
