@@ -591,3 +591,20 @@ def test_refused_orders_leave_before_the_screening(spark, tmp_path, monkeypatch)
     assert given == [([1, 4], 6)]
     rules = sorted((r.prescription_id, r.rule) for r in spark.read.parquet(str(tmp_path / "alerts")).collect())
     assert rules == [(1, "psychoactive"), (4, "duplicate"), (4, "psychoactive"), (4, "psychoactive")]
+
+
+def test_documents_sort_their_lists_without_a_comparison_function(spark):
+    """Lists of one part are sorted once, as they are; those of several parts come out in the same order."""
+    prescriptions = spark.createDataFrame([(1, 7), (2, 7)], "id long, patient_id long")
+    lines = spark.createDataFrame([(f"l{n:02}", 1 + n % 2, n, None if n % 3 else "m", 1.0) for n in reversed(range(12))], "id string, prescription_id long, drug_id long, dci string, dose_mg double")
+    alerts = spark.createDataFrame(
+        [(1, f"l{n:02}", "AGE", "MAJOR", t, None if k else "d") for n in range(0, 12, 2) for k, t in enumerate(("z", None, "a", "z"))],
+        "prescription_id long, line_id string, alert_type string, severity string, title string, detail string",
+    )
+    shown = []
+    for size in (10_000, 2):
+        documents = reads.prescription_documents(prescriptions, lines, alerts, size)
+        assert "array_sort" not in documents._jdf.queryExecution().optimizedPlan().toString()
+        shown.append({r.id: [(l.id, [(a.title, a.detail) for a in l.alerts]) for l in r.lines] for r in documents.collect()})
+    assert shown[0] == shown[1] and [l for l, _ in shown[0][1]] == [f"l{n:02}" for n in range(0, 12, 2)]
+    assert all(a == [(None, None), ("a", None), ("z", None), ("z", "d")] for _, a in shown[0][1]) and not any(a for _, a in shown[0][2])
